@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, line_dedup, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontaminate": decontaminate.query}
+    return {
+        "op2_decontaminate": decontaminate.query,
+        "op3_pii": pii.query,
+        "op5_line_dedup": line_dedup.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL}
+    return {
+        "op2_decontaminate": decontaminate.SQL,
+        "op5_line_dedup": line_dedup.SQL,
+    }

@@ -1,0 +1,77 @@
+"""Personal data against the plain patterns of Python's re."""
+
+import random
+import re
+
+from snapweave.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+".replace(r"\x20-", r"\x20\-"),
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    t = [int(c) for c in reversed(d)]
+    return sum(t[::2]) + sum(sum(divmod(2 * x, 10)) for x in t[1::2])
+
+
+def brute(text):
+    out = []
+    for rank, (kind, p) in enumerate(PLAIN.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip":
+                ok = all(int(x) <= 255 for x in m[0].split("."))
+            elif kind == "card":
+                ok = 12 <= len(d) <= 19 and luhn(d) % 10 == 0
+            else:
+                ok = kind == "email" or 9 <= len(d) <= 15
+            if ok:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def texts():
+    rnd = random.Random(5)
+    fixed = [
+        None, "", "x", "a@b.c_d@e.f", "foo@bar@baz.com", "é a.b+c@x-y.co.uk, end", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4",
+        "999999999999999999999999.1.1.1", "4111 1111 1111 1111 card 4111-1111-1111-1112", "+49 (30) 123-456.78 +1 +12", "😀 4111111111111111 +49301234567",
+        "x@y.z " * 300, "1 " * 900, "a@b" + ".c" * 900,
+    ]
+    alphabet = "ab@.+-_ 0123456789()é😀%"
+    return fixed + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(120))) for _ in range(1500)]
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    ts = texts()
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ts)], "doc_id long, text string, base int").repartition(8)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find_pii(docs).select("doc_id", "base").collect()}
+    assert len(got) == len(ts)
+    for i, t in enumerate(ts):
+        assert got[i] == brute(t), (i, (t or "")[:80])
+
+
+def test_very_long_texts(spark):
+    ts = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "+1" + "2" * 100_000, "a@b" + ".c" * 50_000, "9" * 50_000 + ".1.1.1", "+" * 50_000, "@" * 50_000, "x@y.z " * 5000]
+    docs = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find_pii(docs).collect()}
+    assert [got[i] for i in range(8)] == [[], [], [], [], [("email", 0, 100_003)], [], [], []]
+    assert got[8] == [("email", 6 * i, 6 * i + 5) for i in range(5000)]
+
+
+def test_further_kinds_and_redaction(spark):
+    rows = [
+        (1, "IBAN: DE89 3704 0044 0532 0130 00 ok"), (2, "DE89 3704 0044 0532 0130 01"), (3, "my ssn 123-45-6789."), (4, "no 123-45-6789."),
+        (5, "call 555-123-4567 now"), (6, "sum 555-123-4567"), (7, None), (None, "me@x.org"), (7, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, [(s.kind, r.text[s.start : s.end]) for s in r.entities]) for r in pii.find_pii(docs).collect()]
+    assert got == [
+        (1, [("iban", "DE89 3704 0044 0532 0130 00")]), (2, []), (3, [("ssn", "123-45-6789")]), (4, []), (5, [("tel", "555-123-4567")]), (6, []),
+        (7, []), (None, [("email", "me@x.org")]), (7, []),
+    ]
+    assert [r.text for r in pii.redact(docs).collect()][2:5] == ["my ssn <ssn>.", rows[3][1], "call <tel> now"]
+    assert pii.find_pii(docs.limit(0)).count() == 0
