@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, pii
+from . import decontaminate, line_dedup, mixing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": mixing.query,
         "op2_decontaminate": decontaminate.query,
         "op3_pii": pii.query,
         "op5_line_dedup": line_dedup.query,
