@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, pii
+from . import decontaminate, line_dedup, minhash, mixing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": mixing.query,
         "op2_decontaminate": decontaminate.query,
         "op3_pii": pii.query,
+        "op4_minhash": minhash.query,
         "op5_line_dedup": line_dedup.query,
     }
 
