@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, mixing, pii
+from . import decontaminate, langid, line_dedup, minhash, mixing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_pii": pii.query,
         "op4_minhash": minhash.query,
         "op5_line_dedup": line_dedup.query,
+        "op10_langid": langid.query,
     }
 
 
