@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, minhash, mixing, pii
+from . import chat, decontaminate, embeddings, langid, line_dedup, minhash, mixing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,9 @@ def queries() -> dict[str, Query]:
         "op3_pii": pii.query,
         "op4_minhash": minhash.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_chat": chat.query,
+        "op7_embeddings": embeddings.query,
+        "op9_toxicity": toxicity.query,
         "op10_langid": langid.query,
     }
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op6_chat": chat.SQL,
+        "op7_embeddings": embeddings.SQL,
     }
