@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, langid, line_dedup, minhash, mixing, pii, toxicity
+from . import chat, decontaminate, embeddings, langid, licenses, line_dedup, minhash, mixing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_line_dedup": line_dedup.query,
         "op6_chat": chat.query,
         "op7_embeddings": embeddings.query,
+        "op8_licenses": licenses.query,
         "op9_toxicity": toxicity.query,
         "op10_langid": langid.query,
     }
