@@ -52,9 +52,9 @@ READ, LEAVE, TWICE = 1.0, 7.0, 1.5
 
 _MARKS = r"0-9@$!|+(<€£*"
 DISGUISED = re.compile(
-    rf"(?<![^\W_])(?:[^\W\d_][ ._*\-]){{3,}}[^\W\d_](?![^\W_])"
+    rf"(?<![^\W_])[^\W\d_]([ ._*\-])(?:[^\W\d_]\1){{2,}}[^\W\d_](?![^\W_])"
     rf"|(?=[^\W\d_{_MARKS}]*[{_MARKS}])[^\W_{_MARKS}]*(?:[{_MARKS}]+[^\W\d_]+)+[{_MARKS}]*"
-    rf"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
+    rf"|[^\W\d_]*([^\W\d_])\2\2[^\W\d_]*"
 )
 
 
@@ -301,7 +301,7 @@ def restored(docs: DataFrame, fix: Restorer) -> DataFrame:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if t is None else shared.value.text(t) for t in texts], pa.string())], [*batch.schema.names, "restored"])
 
-    return docs.mapInArrow(run, docs.withColumn("restored", F.lit("")).schema)
+    return docs.mapInArrow(run, docs.withColumn("restored", F.lit(None).cast("string")).schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
