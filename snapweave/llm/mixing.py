@@ -7,7 +7,7 @@ filled in proportion to those counts, the rest is fitted by bounded-knapsack dyn
 over the lengths that remain, and of each length the wanted number is drawn by a seeded hash.
 
 Only counts meet in one place: a group of the fit holds one row per distinct length of a source.
-A length that very many documents share is drawn through hash ranges of a few thousand rows each,
+A length that very many documents share is drawn through hash ranges of about the root of their number each,
 so no source and no length lands in one task. Weights and levels come from distributed aggregates
 over the sources; sources are numbered by range partitions, not in one task.
 
@@ -34,8 +34,8 @@ SHARE, MOST = 1.5, 2.0
 SEED = 17
 #: Words of a budget that the knapsack fits; what is beyond is filled in proportion.
 KNAPSACK_WORDS = 65_536
-#: Rows of a hash range in which documents of one length are ranked.
-RANGE_ROWS = 4096
+#: Documents of one length are ranked in hash ranges of so many rows, or of the root of their number.
+RANGE_ROWS = 256
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     )
     plan = materialize(plan, "plan")
     # The greatest number drawn of the `extra` least ones of each length, through ranges of them.
-    n_ranges = F.ceil(F.col("n") / RANGE_ROWS)
+    n_ranges = F.ceil(F.col("n") / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt("n")))
     some = checked_broadcast(plan.where("extra > 0 AND extra < n").select("source", "size", "extra", n_ranges.alias("parts")), limit=100_000)
     of = thin.join(some, _same(thin, some)).select(
         thin["source"], thin["size"], "draw", "extra", F.least(F.col("parts") - 1, F.floor(F.col("draw") / float(1 << 63) * F.col("parts"))).alias("range")
