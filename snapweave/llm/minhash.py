@@ -12,8 +12,9 @@ dart, the text goes on to twice the rank.
 Texts that are equal are one node from the start, so a group of copies costs one row however large
 it is. Bands of the signatures are joined without pairs inside a bucket: each member is compared
 with one centre, exactly, on its shingles; linked nodes are contracted, and only in buckets that
-still hold several components, members of different ones are compared: signatures in blocks of
-bounded size first, then shingles. So no link between texts that share a band is lost.
+still hold several components, members of different ones are compared, in blocks of bounded size:
+signatures first, then shingles. A block gives the links that connect components, not all pairs.
+So no link between texts that share a band is lost.
 
 Defined results: words are runs of ASCII letters (A-Z folded), digits and non-ASCII characters; a
 text of under five words is one shingle. Texts without words link only to equal texts, null texts
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import FOLD, checked_broadcast, components, materialize, mix, slices, word_hashes
 
 SHINGLE = 5
@@ -108,7 +110,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], l
     for batch in batches:
         texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         keys = list(texts)
-        for a, b in slices([len(texts[x]) for x in keys], 1_000_000):
+        # However short a text is, it gets as many darts as any other.
+        for a, b in slices([max(len(texts[x]), 4000) for x in keys], 1_000_000):
             yield keys[a:b], [texts[x] for x in keys[a:b]]
 
 
@@ -132,45 +135,82 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, texts in _batches(batches):
         units, doc = elements(texts)
-        ends = np.searchsorted(doc, np.arange(1, len(texts) + 1))
-        cut = np.split((units >> _U(32)).astype(np.uint32).view(np.int32), ends[:-1])
+        short = (units >> _U(32)).astype(np.uint32).view(np.int32)
+        order = np.lexsort((short, doc))
+        short, doc = short[order], doc[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (short[1:] != short[:-1]) | (doc[1:] != doc[:-1])
+        short, doc = short[new], doc[new]
+        cut = np.split(short, np.searchsorted(doc, np.arange(1, len(texts))))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int32()))], ["key", "units"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group (rows come sorted by it) in different components whose signatures agree
-    in so many coordinates that a similarity of 0.8 is possible (four deviations of 160 draws)."""
-
-    def pairs(rows: list[tuple]) -> tuple[list, list]:
-        sig = np.stack([np.frombuffer(r[5], np.uint8) for r in rows])
-        comp = np.unique(np.array([r[3].hex() for r in rows]), return_inverse=True)[1]
-        size, half = np.array([r[4] for r in rows]), np.array([r[6] for r in rows])
-        same_half = rows[0][1] == rows[0][2]
-        left, right = [], []
-        for i in range(len(rows) - 1):
-            o = np.arange(i + 1, len(rows))
-            o = o[(comp[o] != comp[i]) & (same_half | (half[o] != half[i]))]
-            o = o[np.minimum(size[o], size[i]) >= SIMILARITY * np.maximum(size[o], size[i])]
-            o = o[(sig[o] == sig[i]).mean(axis=1) >= SIMILARITY - 0.15]
-            for j in o.tolist():
-                a, b = sorted((rows[i][7], rows[j][7]))
-                left.append(a)
-                right.append(b)
-        return left, right
-
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column of numbers."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _forest(rows: list[tuple]) -> tuple[list, list]:
+    """Links among one group's members of different components, enough to span what they connect.
+
+    Pairs whose signatures agree in so many coordinates that a similarity of 0.8 is possible (four
+    deviations of 160 draws) are compared on their shingles, likely ones first, unless other links
+    already connect them. A pair that shares several bands is compared in the first one."""
+    band = rows[0][0]
+    sig = np.stack([np.frombuffer(r[5], np.uint8) for r in rows])
+    bands = np.stack([r[8] for r in rows])
+    comp = np.unique(np.array([r[3].hex() for r in rows]), return_inverse=True)[1]
+    size, half = np.array([r[4] for r in rows]), np.array([r[6] for r in rows])
+    same_half = rows[0][1] == rows[0][2]
+    found = []
+    for i in range(len(rows) - 1):
+        o = np.arange(i + 1, len(rows))
+        o = o[(comp[o] != comp[i]) & (same_half | (half[o] != half[i]))]
+        o = o[np.minimum(size[o], size[i]) >= SIMILARITY * np.maximum(size[o], size[i])]
+        agree = (sig[o] == sig[i]).mean(axis=1)
+        likely = agree >= SIMILARITY - 0.15
+        o, agree = o[likely], agree[likely]
+        if len(o):
+            first = (bands[o] == bands[i]).argmax(axis=1)
+            own = bands[i][first] == band
+            found += zip((-agree[own]).tolist(), [i] * int(own.sum()), o[own].tolist(), strict=True)
+    root = list(range(int(comp.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left, right = [], []
+    for _, i, j in sorted(found):
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b:
+            both = len(np.intersect1d(rows[i][9], rows[j][9], assume_unique=True))
+            if both >= SIMILARITY * (len(rows[i][9]) + len(rows[j][9]) - both):
+                root[max(a, b)] = min(a, b)
+                left.append(rows[i][7])
+                right.append(rows[j][7])
+    return left, right
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_forest`` of each group (band, lo, hi) of rows, which come sorted by it."""
     kept: list[tuple] = []
     for batch in batches:
         out: tuple[list, list] = ([], [])
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [c.to_pylist() for c in batch.columns[:8]] + [_lists(c) for c in batch.columns[8:]]
+        for row in zip(*columns, strict=True):
             if kept and kept[-1][:3] != row[:3]:
-                a, b = pairs(kept)
+                a, b = _forest(kept)
                 out[0].extend(a)
                 out[1].extend(b)
                 kept = []
             kept.append(row)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
     if kept:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in pairs(kept)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _forest(kept)], ["a", "b"])
 
 
 def key_of(text: Column) -> Column:
@@ -190,6 +230,7 @@ def _verify(pairs: DataFrame, units: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between the nodes of different texts: enough of them to connect every
     two nodes that a chain of similar nodes sharing a band connects."""
+    ship(docs.sparkSession)
     texts = docs.where("text IS NOT NULL").select(key_of(F.col("text")).alias("key"), "text")
     signed = texts.mapInArrow(_sign, "key binary, size long, bands array<long>, sig binary").dropDuplicates(["key"])
     signed = materialize(signed, "signatures")
@@ -203,20 +244,19 @@ def links(docs: DataFrame) -> DataFrame:
     nodes = checked_broadcast(materialize(shared.select("key").distinct(), "nodes"))
     units = materialize(texts.join(nodes, "key", "left_semi").mapInArrow(_units, "key binary, units array<int>").dropDuplicates(["key"]), "units")
     first = materialize(_verify(pairs, units), "links")
-    # Buckets that still hold several components: compare members of different ones.
+    # Buckets that still hold several components: compare members of different ones, in blocks.
     roots = components(first)
     placed = shared.select("band", "key", "size").join(roots, F.col("key") == F.col("node"), "left")
     placed = materialize(placed.select("band", "key", "size", F.coalesce("root", "key").alias("comp")), "placed")
     open_ = placed.groupBy("band").agg(F.countDistinct("comp").alias("c"), F.count("*").alias("n")).where("c > 1")
     open_ = open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(open_, "band").join(signed.select("key", "sig"), "key")
+    members = placed.join(open_, "band").join(signed.select("key", "sig", "bands"), "key").join(units, "key")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "size", "sig", "block", "key"
+        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "size", "sig", "block", "key", "bands", "units"
     )
     dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    more = dealt.mapInArrow(_alike, "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-    return materialize(first.unionByName(_verify(more, units)), "links")
+    return materialize(first.unionByName(dealt.mapInArrow(_connect, "a binary, b binary")), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
