@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.access import checked
+from ..ship import ship
 
 _OUT = "ts timestamp, event_id bigint, pid int, path string, mask bigint, role string, decision string"
 
@@ -39,6 +40,7 @@ def decide_stream(access: DataFrame, pending: DataFrame, blobs: DataFrame, self_
     ``operators.access.decide`` gives them for a batch; state per path, one flag.
 
     Pending paths join as a static table. ``ts`` must be a timestamp with time zone."""
+    ship(access.sparkSession)
     files = pending.select("path", "sha256").dropDuplicates(["path"]).join(
         blobs.select("sha256", F.lit(True).alias("available")).dropDuplicates(["sha256"]), "sha256", "left"
     )
