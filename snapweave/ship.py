@@ -1,4 +1,4 @@
-"""Sends this package to the executors, which need not have it installed."""
+"""Prepares a session for Python code in tasks: sources at the executors, batches of bounded size."""
 
 from __future__ import annotations
 
@@ -12,9 +12,16 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Bytes of the batches that Python code gets; rows can be long documents, and tasks hold several.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the application's Python files, once for each application."""
+    """Add the package's sources to the application's Python files, once for each application, and
+    bound the session's batches unless it has a bound of its own."""
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return

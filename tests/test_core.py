@@ -255,8 +255,18 @@ def test_directory_scan(spark, tmp_path):
     (tmp_path / "sub" / "b c.txt").write_text("x")
     (tmp_path / "sub" / ".wh.gone").write_text("")
     (tmp_path / "sub" / ".wh..wh..opq").write_text("")
-    got = {(r.path, r.kind, r.size) for r in directory.delta(spark, str(tmp_path)).collect()}
-    assert got == {("a.txt", "file", 5), ("sub/b c.txt", "file", 1), ("sub/gone", "whiteout", 0), ("sub", "opaque", 0)}
+    (tmp_path / "sub" / "deep").mkdir()
+    (tmp_path / "sub" / "deep" / "link").symlink_to("../../a.txt")
+    want = {("a.txt", "file", 5), ("sub", "dir", 0), ("sub/b c.txt", "file", 1), ("sub/gone", "whiteout", 0), ("sub", "opaque", 0), ("sub/deep", "dir", 0), ("sub/deep/link", "file", 11)}
+    for levels in (0, 1, 3):
+        got = directory.delta(spark, str(tmp_path), levels).collect()
+        assert sorted((r.path, r.kind, r.size) for r in got) == sorted(want)
+    digest = {r.path: r.sha256 for r in got if r.kind == "file"}
+    plain = {r.path: r.sha256 for r in directory.scan(spark, str(tmp_path)).collect()}
+    assert {p: plain[p] for p in ("a.txt", "sub/b c.txt")} == {p: digest[p] for p in ("a.txt", "sub/b c.txt")}
+    base = spark.createDataFrame([("sub/gone", "x"), ("sub/old", "y"), ("top", "z")], FILES)
+    own = directory.delta(spark, str(tmp_path)).select("path", "kind", "sha256")
+    assert {r.path for r in snapshot.commit(base, own, opaque=True).collect()} == {"a.txt", "sub/b c.txt", "sub/deep/link", "top"}
 
 
 # --- mounts, logs, accesses ---
@@ -328,3 +338,35 @@ def test_access_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = pairs(spark.table("verdicts").select("event_id", "path", "role", "decision"))
     assert got == pairs(access.decide(df, pending, have, 2).select("event_id", "path", "role", "decision"))
+
+
+# --- sinks ---
+
+
+def test_sinks(spark, tmp_path):
+    from snapweave import sinks
+
+    row = lambda s: (__import__("hashlib").sha256(s).hexdigest(), len(s), bytearray(s))
+    kind = "sha256 string, size long, content binary"
+    store = str(tmp_path / "blobs")
+    assert sinks.ingest_blobs(spark.createDataFrame([row(b"a"), row(b"b"), row(b"a")], kind), store).count() == 2
+    assert sinks.ingest_blobs(spark.createDataFrame([row(b"b"), row(b"c")], kind), store).count() == 1
+    with pytest.raises(Exception, match="does not have digest"):
+        sinks.ingest_blobs(spark.createDataFrame([("0" * 64, 1, bytearray(b"x"))], kind), store)
+    have = spark.read.parquet(store)
+    assert have.count() == 3 and blobs.corrupt(have).count() == 0
+    files = have.select(F.concat(F.lit("d/"), F.col("sha256")).alias("path"), "sha256", "size", F.lit(0o640).alias("mode"), F.lit(10**18).alias("mod_time_ns"))
+    sinks.commit_snapshot(files, have, str(tmp_path / "m"), "v", 0)
+    with pytest.raises(ValueError, match="no blob"):
+        sinks.commit_snapshot(files, have.limit(1), str(tmp_path / "m"), "v", 1)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.commit_snapshot(files, have, str(tmp_path / "m"), "v", 0)
+    planned = restore.plan(files.withColumn("size", F.lit(5000).cast("long")), files.limit(0).select("path", "sha256"), 4096)
+    out = restore.materialized(planned, have).unionByName(restore.materialized(restore.plan(files, files.limit(0).select("path", "sha256")), have).withColumn("path", F.concat(F.lit("e/"), "sha256")))
+    assert sinks.export_files(out, str(tmp_path / "out")).agg(F.sum("bytes")).first()[0] == 3 * 5000 + 3
+    made = sorted(p for p in (tmp_path / "out" / "e").iterdir())
+    assert sorted(p.read_bytes() for p in made) == [b"a", b"b", b"c"] and made[0].stat().st_mode & 0o777 == 0o640 and made[0].stat().st_mtime_ns == 10**18
+    s = spark.createDataFrame([("v", None, ["l"])], "volume_id string, image_sha256 string, layers array<string>")
+    none = spark.createDataFrame([], "image string, code string, nid long, message string")
+    with pytest.raises(ValueError, match="missing blob"):
+        sinks.commit_layers(s, have, none, str(tmp_path / "s"))
