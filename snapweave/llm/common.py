@@ -3,10 +3,13 @@ broadcasts, prefix sums over arrays, connected components and hashing of words i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
 
     A larger one comes back as it is, and Spark shuffles both sides."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n <= min(limit, BROADCAST_ROWS) else df
 
 
 def prefix_sums(xs: Column) -> Column:
@@ -74,10 +77,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = materialize(e, "edges")
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first, so that the join reads two plain tables and Spark can split a hub's rows.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = (
             small.select("u", F.col("m").alias("v"))
@@ -104,7 +108,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 21)
         inverse = pow(_BASE, -1, 1 << 64)
         for key, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, _U)
@@ -146,7 +150,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def slices(lengths: list[int], most: int = 2_000_000) -> list[tuple[int, int]]:
+def trimmed(run):
+    """A function of batches that gives memory it no longer needs back to the system at its end;
+    the Python process lives on between tasks, beside the JVM's own memory."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def slices(lengths: list[int], most: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of consecutive items whose lengths add up to about ``most``, so that arrays
     over one range stay small; one long item is a range of its own."""
     out, begin, total = [], 0, 0

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, slices
+from ..ship import ship
+from .common import FOLD, slices, trimmed
 
 #: Words of a window.
 WINDOW = 10
@@ -139,6 +140,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     """``docs`` with ``n_words`` and ``matches``: the longest verbatim matches of at least a window
     with any item of ``benchmark(item_id, text)``, in words counted from 0."""
     spark = docs.sparkSession
+    ship(spark)
     kind = benchmark.schema["item_id"].dataType.simpleString()
     clash = [c for c in docs.columns if c in ("n_words", "matches")]
     out = docs.drop(*clash).withColumn("n_words", F.lit(0).cast("long")).withColumn("matches", F.array().cast(_MATCHES.format(kind)))
@@ -167,7 +169,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     for k in range(n_blocks):  # each block is bounded: the hash deals the items out evenly
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k)
         rows = [(r[0], r[1]) for r in part.collect()]
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(Block(sorted(rows, key=str), window))), schema)
+        out = out.mapInArrow(trimmed(step(spark.sparkContext.broadcast(Block(sorted(rows, key=str), window)))), schema)
     return out
 
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, materialize, mix
+from ..ship import ship
+from .common import checked_broadcast, components, materialize, mix, trimmed
 
 COSINE = 0.98
 #: Tables; neighbouring cells that a vector goes to in each; width of a lattice unit.
@@ -176,6 +177,7 @@ def _blocks(members: DataFrame, group: str, sizes: DataFrame, *more: str) -> Dat
 
 def link_vectors(vectors: DataFrame) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` with n_links, component_id and kept."""
+    ship(vectors.sparkSession)
     vectors = vectors.drop("n_links", "component_id", "kept", "__key")
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", number) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -186,15 +188,15 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
         F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first(F.col("label").cast("long")).alias("label"), F.first("embedding").alias("embedding")
     )
     nodes = materialize(nodes, "nodes")
-    hashes = nodes.select("key", "label", "embedding").mapInArrow(_hash, "key string, cells array<long>")
+    hashes = nodes.select("key", "label", "embedding").mapInArrow(trimmed(_hash), "key string, cells array<long>")
     rows = materialize(hashes.select("key", F.explode("cells").alias("cell")), "cells")
     shared = materialize(rows.groupBy("cell").agg(F.count("*").alias("n_in")).where("n_in > 1"), "shared")
     members = rows.join(checked_broadcast(shared.select("cell")), "cell").join(nodes.select("key", "embedding", "label"), "key")
-    edges = _blocks(members, "cell", shared, "label").mapInArrow(_forest, "a string, b string")
+    edges = _blocks(members, "cell", shared, "label").mapInArrow(trimmed(_forest), "a string, b string")
     roots = components(edges)
     linked = materialize(nodes.join(roots, F.col("key") == F.col("node")).select("key", "root", "least", "n", "embedding"), "linked")
     sizes = linked.groupBy("root").agg(F.count("*").alias("n_in"), F.min("least").alias("component"))
-    degrees = _blocks(linked, "root", sizes, "n").mapInArrow(_degrees, "key string, links long").groupBy("key").agg(F.sum("links").alias("links"))
+    degrees = _blocks(linked, "root", sizes, "n").mapInArrow(trimmed(_degrees), "key string, links long").groupBy("key").agg(F.sum("links").alias("links"))
     of_linked = linked.join(sizes, "root").join(degrees, "key").select("key", "component", (F.col("links") + F.col("n") - 1).alias("links"))
     copies = nodes.where("n > 1").join(roots, F.col("key") == F.col("node"), "left_anti").select("key", F.col("least").alias("component"), (F.col("n") - 1).alias("links"))
     found = checked_broadcast(materialize(of_linked.unionByName(copies), "found"))

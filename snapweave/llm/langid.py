@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from ..ship import ship
+from .common import slices, trimmed
 
 #: Labelled documents of each language from which the model is learned, about.
 FIT_ROWS = 5000
@@ -114,6 +115,7 @@ class Model:
 
 def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """A model from ``docs(text, lang)``; rows without either are ignored. None without rows."""
+    ship(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
@@ -123,7 +125,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 1) / float(1 << 63)
     some = labelled.where(draw <= F.element_at(part, F.col("lang")))
     sums = np.zeros((len(langs), BUCKETS + N_SCRIPTS), np.int64)
-    found = some.mapInArrow(_count({k: i for i, k in enumerate(langs)}), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = some.mapInArrow(trimmed(_count({k: i for i, k in enumerate(langs)})), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums[found.column("lang").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return Model(langs, sums)
 
@@ -194,7 +196,7 @@ def _predict(shared, spans: bool):
             letters = batch.column(names.index("__letter")).to_pylist()
             texts = [t if ok else "" for t, ok in zip(texts, letters, strict=True)]
             lang, score, found = [], [], []
-            for a, b in slices([len(t) for t in texts], 4_000_000):
+            for a, b in slices([len(t) for t in texts]):
                 w = Words(texts[a:b])
                 s = model.scores(w)
                 label = best_path(s, w.counts)
@@ -240,10 +242,11 @@ def predict(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFra
     if model is None:
         out = docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
         return out.withColumn("spans", F.array().cast(_SPANS)) if spans else out
+    ship(docs.sparkSession)
     marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
     schema = (schema.withColumn("spans", F.array().cast(_SPANS)) if spans else schema).schema
-    return marked.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), spans), schema)
+    return marked.mapInArrow(trimmed(_predict(docs.sparkSession.sparkContext.broadcast(model), spans)), schema)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, slices
+from ..ship import ship
+from .common import FOLD, slices, trimmed
 
 #: Words of a run; runs of which the least is kept; least coverage; half width of a band.
 K, WINNOW, COVERAGE, BAND = 3, 2, 0.8, 6
@@ -165,6 +166,7 @@ _MATCHES = "array<struct<license:string,coverage:double,matched:bigint,start:big
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with matches: array<struct<license, coverage, matched, start, end>>, by place."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES))
     docs = docs.drop("matches")
     schema = docs.withColumn("matches", F.array().cast(_MATCHES)).schema
@@ -173,10 +175,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.names.index("text")).to_pylist()]
-            found = [m for a, b in slices([len(t) for t in texts], 4_000_000) for m in scan_shard(texts[a:b], shared.value, coverage)]
+            found = [m for a, b in slices([len(t) for t in texts]) for m in scan_shard(texts[a:b], shared.value, coverage)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "matches"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

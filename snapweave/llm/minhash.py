@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import FOLD, checked_broadcast, components, materialize, mix, slices, word_hashes
+from .common import FOLD, checked_broadcast, components, materialize, mix, slices, trimmed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -232,7 +232,7 @@ def links(docs: DataFrame) -> DataFrame:
     two nodes that a chain of similar nodes sharing a band connects."""
     ship(docs.sparkSession)
     texts = docs.where("text IS NOT NULL").select(key_of(F.col("text")).alias("key"), "text")
-    signed = texts.mapInArrow(_sign, "key binary, size long, bands array<long>, sig binary").dropDuplicates(["key"])
+    signed = texts.mapInArrow(trimmed(_sign), "key binary, size long, bands array<long>, sig binary").dropDuplicates(["key"])
     signed = materialize(signed, "signatures")
     rows = signed.select(F.explode("bands").alias("band"), "key", "size")
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.xxhash64("key")).alias("centre")).where("n > 1").select("band", "centre")
@@ -242,7 +242,7 @@ def links(docs: DataFrame) -> DataFrame:
     pairs = shared.join(centres, "band").where((F.col("key") != F.col("b")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
     pairs = materialize(pairs.distinct(), "pairs")
     nodes = checked_broadcast(materialize(shared.select("key").distinct(), "nodes"))
-    units = materialize(texts.join(nodes, "key", "left_semi").mapInArrow(_units, "key binary, units array<int>").dropDuplicates(["key"]), "units")
+    units = materialize(texts.join(nodes, "key", "left_semi").mapInArrow(trimmed(_units), "key binary, units array<int>").dropDuplicates(["key"]), "units")
     first = materialize(_verify(pairs, units), "links")
     # Buckets that still hold several components: compare members of different ones, in blocks.
     roots = components(first)
@@ -256,7 +256,7 @@ def links(docs: DataFrame) -> DataFrame:
         "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "size", "sig", "block", "key", "bands", "units"
     )
     dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    return materialize(first.unionByName(dealt.mapInArrow(_connect, "a binary, b binary")), "links")
+    return materialize(first.unionByName(dealt.mapInArrow(trimmed(_connect), "a binary, b binary")), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
