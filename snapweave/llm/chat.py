@@ -8,7 +8,8 @@ strings inside roles and texts (those of this template and of other common ones)
 after their first character, one more than they have; taking one away gives the text back.
 
 Defined results: null text and role count as empty. Records of an unknown fingerprint have no turns
-and name no layout, so they can be counted; so have records that are null or not JSON. Rows pass
+and name no layout, so they can be counted; so have records that are null or not JSON, or that hold
+one string of over 20 million characters, which Spark's JSON functions do not read. Rows pass
 with all columns, repeated rows and null ids too; columns named like a result are replaced. Turns of
 one conversation come in the order of turn, then role, then text.
 """
@@ -26,6 +27,9 @@ from .common import prefix_sums
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _CONTROL = r"\||/?s>|<SYS>>|</SYS>>|/?INST\]"
 
+#: Characters from which a record that is no variant is looked at by its outer names alone.
+LARGE = 8_000_000
+
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -39,6 +43,7 @@ class Layout:
     name: str
     paths: tuple[str, ...]
     each: tuple[str, str, str] | None = None
+    renames: bool = False  # whether other names of roles (ROLES) are usual in this layout
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
@@ -46,8 +51,8 @@ class Layout:
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), each=("messages", "role", "content")),
     Layout("messages", ("messages[].role", "messages[].text"), each=("messages", "role", "text")),
-    Layout("shares", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
-    Layout("nested", ("data.turns[].speaker", "data.turns[].utterance"), each=("data.turns", "speaker", "utterance")),
+    Layout("shares", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value"), renames=True),
+    Layout("nested", ("data.turns[].speaker", "data.turns[].utterance"), each=("data.turns", "speaker", "utterance"), renames=True),
     Layout("prompt", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("prompt", ("completion", "prompt"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("prompt", ("prompt", "response", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -56,7 +61,7 @@ LAYOUTS = (
     Layout("instruction", ("input", "instruction", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
 )
 
-#: Roles that mean the same.
+#: Other names of roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -86,9 +91,23 @@ def _shape(paths: tuple[str, ...]) -> str:
     return write(tree)
 
 
+def _large_paths(record: Column) -> Column:
+    """As ``field_paths`` for a record too large for a variant, as far as layouts need: names at the
+    top, and those of the first object of an array."""
+    names = lambda r: F.array_sort(F.json_object_keys(r))
+
+    def field(k: Column) -> Column:
+        inner = names(F.call_function("get_json_object", record, F.concat(F.lit("$."), k, F.lit("[0]"))))
+        nested = F.concat(F.lit("[{"), F.array_join(F.transform(inner, lambda x: F.concat(x, F.lit(": "))), ", "), F.lit(">>"))
+        return F.concat(k, F.lit(": "), F.coalesce(nested, F.lit("")))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(names(record), field), ", "), F.lit(">"))
+
+
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a JSON record; null if it is no JSON."""
-    return F.xxhash64(field_paths(F.try_parse_json(record)))
+    paths = field_paths(F.try_parse_json(record))
+    return F.xxhash64(F.when(paths.isNull() & (F.length(record) > LARGE), _large_paths(record)).otherwise(paths))
 
 
 def _role(role: Column) -> Column:
@@ -102,7 +121,7 @@ def _read(layout: Layout, record: Column) -> Column:
     if layout.each:
         path, role, text = layout.each
         items = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(items, lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+        return F.transform(items, lambda x: F.struct((_role(x[role]) if layout.renames else F.coalesce(x[role], F.lit(""))).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
     names = sorted({f for _, fs in layout.fields for f in fs})
     row = F.from_json(record, ",".join(f"`{n}` string" for n in names))
     turns = []

@@ -79,7 +79,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     number of lines before (n_lines) and of lines taken (n_removed)."""
     docs = docs.drop("n_lines", "n_removed")
     gone = materialize(covered(docs.select("doc_id", "text")), "covered")
-    gone = checked_broadcast(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone").withColumnRenamed("gone", "__gone"), limit=100_000)
+    # Rows hold arrays, so the check counts rows and spans.
+    rows = gone.agg(F.coalesce(F.sum(F.size("gone") + 1), F.lit(0))).first()[0]
+    gone = checked_broadcast(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), rows)
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     lines = _lines(F.col("text"))
     n = F.size(lines)
