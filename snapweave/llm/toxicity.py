@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, checked_broadcast, materialize, mix, slices, word_hashes
+from ..ship import ship
+from .common import FOLD, checked_broadcast, materialize, mix, slices, trimmed, word_hashes
 from .langid import fold
 
 #: Labelled documents of the fit, about.
@@ -47,8 +48,9 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou",
 }
-#: Costs of the channel: a mark read as a letter, a mark left out, a drawn-out letter kept twice.
-READ, LEAVE, TWICE = 1.0, 7.0, 1.5
+#: Costs of the channel: a mark read as a letter, a mark left out (punctuation at the rim costs
+#: less), a drawn-out letter kept twice.
+READ, LEAVE, RIM, TWICE = 1.0, 12.0, 0.5, 1.5
 
 _MARKS = r"0-9@$!|+(<€£*"
 DISGUISED = re.compile(
@@ -58,6 +60,27 @@ DISGUISED = re.compile(
 )
 
 
+def _lines_to_search(text: str) -> np.ndarray:
+    """Numbers of the lines in which DISGUISED can match: a mark stands before a letter, a letter
+    three times in a row, or four letters with a separator between each two."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = c | np.uint32(32)
+    letter = (low - np.uint32(97) < 26) | (c >= 128)  # beyond ASCII whatever may be one
+    kind = np.zeros(256, np.uint8)
+    kind[[ord(x) for x in STANDS_FOR if ord(x) < 256]] = 1
+    kind[[ord(x) for x in " ._*-"]] |= 2
+    kind = kind[np.minimum(c, 255)]
+    mark, apart = ((kind & 1) > 0) | (c == ord("€")), (kind & 2) > 0
+    found = np.zeros(len(c), bool)
+    if len(c) > 6:
+        found[:-1] = mark[:-1] & letter[1:]
+        found[:-2] |= letter[:-2] & (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:])
+        found[:-6] |= apart[1:-5] & apart[3:-3] & apart[5:-1] & letter[:-6] & letter[2:-4] & letter[4:-2]
+    else:
+        found[:] = True
+    return np.unique(np.searchsorted(np.flatnonzero(c == 10), np.flatnonzero(found)))
+
+
 class Restorer:
     """Viterbi over the lattice of a stretch, under trigram costs [symbol, symbol, symbol]."""
 
@@ -79,13 +102,16 @@ class Restorer:
     def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         """For each mark or run of one letter its readings, each with its cost."""
         out = []
-        for m in re.finditer(r"(.)\1*", stretch.lower(), re.S):
+        stretch = stretch.lower()
+        for m in re.finditer(r"(.)\1*", stretch, re.S):
             c, n = m[1], len(m[0])
+            rim = m.start() == 0 or m.end() == len(stretch)
+            leave = RIM if rim and c in "!|+" else LEAVE
             if c.isalpha():
                 out.append([(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, TWICE)])
-            elif c in STANDS_FOR and n < 3:
+            elif c in STANDS_FOR and n < 3 and not (rim and c in "(<*"):
                 for _ in range(n):
-                    out.append([(x, READ) for x in STANDS_FOR[c]] + [("", LEAVE)])
+                    out.append([(x, READ) for x in STANDS_FOR[c]] + [("", leave)])
         return out
 
     def _restore(self, stretch: str) -> str:
@@ -114,6 +140,20 @@ class Restorer:
         """A text with its disguised stretches restored."""
         return DISGUISED.sub(lambda m: self.restore(m[0]), text) if text else ""
 
+    def texts(self, texts: list[str | None]) -> list[str]:
+        """As ``text`` for each; only lines in which a stretch can stand are searched for one."""
+        out = [t or "" for t in texts]
+        for a, b in slices([len(t) for t in out]):
+            lines = _lines_to_search("\n".join(out[a:b]))
+            first = np.cumsum([0] + [t.count("\n") + 1 for t in out[a:b]])
+            doc = np.searchsorted(first, lines, "right") - 1
+            for d in np.unique(doc).tolist():
+                own = out[a + d].split("\n")
+                for k in (lines[doc == d] - first[d]).tolist():
+                    own[k] = self.text(own[k])
+                out[a + d] = "\n".join(own)
+        return out
+
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letter = np.full(256, _BORDER, np.int32)
@@ -137,7 +177,8 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def restorer(docs: DataFrame) -> Restorer:
     """A restorer with trigram counts over all texts of ``docs``."""
-    found = docs.select("text").mapInArrow(_trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    ship(docs.sparkSession)
+    found = docs.select("text").mapInArrow(trimmed(_trigrams), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS**3)
     counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return Restorer(counts)
@@ -196,7 +237,7 @@ def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix: Restorer = shared.value
         for batch in batches:
-            texts, toxic = [fix.text(t) for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), bool)
+            texts, toxic = fix.texts(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), bool)
             for a, b in slices([len(t) for t in texts]):
                 doc, h = features(texts[a:b])
                 pair = np.unique(np.rec.fromarrays([h, doc]))
@@ -212,7 +253,7 @@ def _design(shared, features_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix, model = shared.value, features_.value
         for batch in batches:
-            texts = [fix.text(t) for t in batch.column(0).to_pylist()]
+            texts = fix.texts(batch.column(0).to_pylist())
             rows: list[list[int]] = [[] for _ in texts]
             for a, b in slices([len(t) for t in texts]):
                 for d, f in zip(*(x.tolist() for x in model.found(texts[a:b])), strict=True):
@@ -222,7 +263,7 @@ def _design(shared, features_):
     return run
 
 
-def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, ridge: float = 2.0, turns: int = 400) -> tuple[float, np.ndarray]:
+def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, ridge: float = 0.2, turns: int = 600) -> tuple[float, np.ndarray]:
     """Logistic regression on 0/1 features with a ridge, by accelerated gradient steps."""
     w, b = np.zeros(n), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     m, v, m0, v0 = np.zeros(n), np.zeros(n), 0.0, 0.0
@@ -251,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, fix: Restorer, fit_rows: int = FIT
     total, bad = rows.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not total or bad in (0, total):
         return Model(np.zeros(0, _U), -30.0 if not bad else 30.0)
-    counts = rows.mapInArrow(_count(shared), "h long, n long, bad long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = rows.mapInArrow(trimmed(_count(shared)), "h long, n long, bad long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
     def part(k, m):  # k of m, against the expected share of either kind
         return F.when(k > 0, k * F.log(k / m)).otherwise(F.lit(0.0))
@@ -260,7 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame, fix: Restorer, fit_rows: int = FIT
     gain = part(F.col("bad"), F.col("n") * (bad / total)) + part(good, F.col("n") * (1 - bad / total))
     best = counts.where("n >= 3").withColumn("gain", gain).orderBy(F.desc("gain"), "h").limit(FEATURES).select("h").toArrow()
     model = Model(best.column("h").to_numpy().view(_U))
-    found = rows.mapInArrow(_design(shared, spark.sparkContext.broadcast(model)), "toxic boolean, found array<int>").toArrow()
+    found = rows.mapInArrow(trimmed(_design(shared, spark.sparkContext.broadcast(model))), "toxic boolean, found array<int>").toArrow()
     lists = found.column("found").combine_chunks()
     y = found.column("toxic").to_numpy().astype(float)
     size = np.array([len(x) for x in lists.to_pylist()], int)
@@ -274,7 +315,7 @@ def _score(shared, judged):
         fix, model = shared.value, judged.value
         for batch in batches:
             names = batch.schema.names
-            texts = [fix.text(t) for t in batch.column(names.index("text")).to_pylist()]
+            texts = fix.texts(batch.column(names.index("text")).to_pylist())
             scores = [model.scores(texts[a:b]) for a, b in slices([len(t) for t in texts])]
             whole = np.concatenate([*scores, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole)], [*names, "score"])
@@ -287,7 +328,7 @@ def score(docs: DataFrame, fix: Restorer, model: Model) -> DataFrame:
     docs = docs.drop("score", "predicted")
     sc = docs.sparkSession.sparkContext
     schema = docs.withColumn("score", F.lit(0.0)).schema
-    out = docs.mapInArrow(_score(sc.broadcast(fix), sc.broadcast(model)), schema)
+    out = docs.mapInArrow(trimmed(_score(sc.broadcast(fix), sc.broadcast(model))), schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -299,9 +340,9 @@ def restored(docs: DataFrame, fix: Restorer) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if t is None else shared.value.text(t) for t in texts], pa.string())], [*batch.schema.names, "restored"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if t is None else x for t, x in zip(texts, shared.value.texts(texts), strict=True)], pa.string())], [*batch.schema.names, "restored"])
 
-    return docs.mapInArrow(run, docs.withColumn("restored", F.lit(None).cast("string")).schema)
+    return docs.mapInArrow(trimmed(run), docs.withColumn("restored", F.lit(None).cast("string")).schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
