@@ -216,20 +216,22 @@ class Model:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.hashes & _U((1 << 20) - 1)).astype(np.int64)] = True
 
-    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, number of the feature), each once, of the model's features."""
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number of the feature, value), each once, of the model's features; the value is
+        log2(1 + times it stands there)."""
         doc, h = features(texts)
         few = self.sieve[(h & _U((1 << 20) - 1)).astype(np.int64)]
         doc, h = doc[few], h[few]
         at = np.searchsorted(self.hashes, h)
         ok = at < len(self.hashes)
         ok[ok] = self.hashes[at[ok]] == h[ok]
-        both = np.unique(doc[ok].astype(np.int64) * max(len(self.hashes), 1) + at[ok])
-        return both // max(len(self.hashes), 1), both % max(len(self.hashes), 1)
+        n = max(len(self.hashes), 1)
+        both, times = np.unique(doc[ok].astype(np.int64) * n + at[ok], return_counts=True)
+        return both // n, both % n, np.log2(1.0 + times)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        doc, at = self.found(texts)
-        z = self.bias + np.bincount(doc, self.weights[at], len(texts))
+        doc, at, value = self.found(texts)
+        z = self.bias + np.bincount(doc, self.weights[at] * value, len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -255,21 +257,23 @@ def _design(shared, features_):
         for batch in batches:
             texts = fix.texts(batch.column(0).to_pylist())
             rows: list[list[int]] = [[] for _ in texts]
+            values: list[list[float]] = [[] for _ in texts]
             for a, b in slices([len(t) for t in texts]):
-                for d, f in zip(*(x.tolist() for x in model.found(texts[a:b])), strict=True):
+                for d, f, v in zip(*(x.tolist() for x in model.found(texts[a:b])), strict=True):
                     rows[a + d].append(f)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "found"])
+                    values[a + d].append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["toxic", "found", "value"])
 
     return run
 
 
-def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, ridge: float = 0.2, turns: int = 600) -> tuple[float, np.ndarray]:
-    """Logistic regression on 0/1 features with a ridge, by accelerated gradient steps."""
+def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, ridge: float = 0.2, turns: int = 600) -> tuple[float, np.ndarray]:
+    """Logistic regression with a ridge, by accelerated gradient steps."""
     w, b = np.zeros(n), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     m, v, m0, v0 = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, turns + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(y)), -30, 30)))
-        g, g0 = np.bincount(col, (p - y)[row], n) + ridge * w, float((p - y).sum())
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col] * value, len(y)), -30, 30)))
+        g, g0 = np.bincount(col, (p - y)[row] * value, n) + ridge * w, float((p - y).sum())
         m, v, m0, v0 = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * m0 + 0.1 * g0, 0.999 * v0 + 0.001 * g0 * g0
         rate, fix, fix2 = 0.1 * min(1.0, 2 * (1 - t / (turns + 1))), 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-9)
@@ -301,12 +305,13 @@ def learn(docs: DataFrame, labels: DataFrame, fix: Restorer, fit_rows: int = FIT
     gain = part(F.col("bad"), F.col("n") * (bad / total)) + part(good, F.col("n") * (1 - bad / total))
     best = counts.where("n >= 3").withColumn("gain", gain).orderBy(F.desc("gain"), "h").limit(FEATURES).select("h").toArrow()
     model = Model(best.column("h").to_numpy().view(_U))
-    found = rows.mapInArrow(trimmed(_design(shared, spark.sparkContext.broadcast(model))), "toxic boolean, found array<int>").toArrow()
+    found = rows.mapInArrow(trimmed(_design(shared, spark.sparkContext.broadcast(model))), "toxic boolean, found array<int>, value array<double>").toArrow()
     lists = found.column("found").combine_chunks()
     y = found.column("toxic").to_numpy().astype(float)
     size = np.array([len(x) for x in lists.to_pylist()], int)
     col = lists.flatten().to_numpy(zero_copy_only=False).astype(int)
-    bias, weights = _fit(y, np.repeat(np.arange(len(y)), size), col, len(model.hashes))
+    value = found.column("value").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    bias, weights = _fit(y, np.repeat(np.arange(len(y)), size), col, value, len(model.hashes))
     return Model(model.hashes, bias, weights)
 
 
