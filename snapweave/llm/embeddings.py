@@ -31,7 +31,7 @@ COSINE = 0.98
 #: Tables; neighbouring cells that a vector goes to in each; width of a lattice unit.
 TABLES, PROBES, WIDTH = 6, 4, 0.8
 #: Vectors on either side of a block.
-BLOCK = 512
+BLOCK = 256
 SEED = 8
 _U = np.uint64
 
@@ -199,10 +199,10 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     degrees = _blocks(linked, "root", sizes, "n").mapInArrow(trimmed(_degrees), "key string, links long").groupBy("key").agg(F.sum("links").alias("links"))
     of_linked = linked.join(sizes, "root").join(degrees, "key").select("key", "component", (F.col("links") + F.col("n") - 1).alias("links"))
     copies = nodes.where("n > 1").join(roots, F.col("key") == F.col("node"), "left_anti").select("key", F.col("least").alias("component"), (F.col("n") - 1).alias("links"))
-    found = checked_broadcast(materialize(of_linked.unionByName(copies), "found"))
-    out = keyed.join(found, F.col("__key") == F.col("key"), "left")
-    out = out.withColumns({"n_links": F.coalesce("links", F.lit(0).cast("long")), "component_id": F.when(F.col("key").isNotNull(), F.col("component")).otherwise(F.col("vec_id"))})
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).drop("__key", "key", "component", "links")
+    found = checked_broadcast(materialize(of_linked.unionByName(copies).toDF("__k", "__c", "__l"), "found"))
+    out = keyed.join(found, F.col("__key") == F.col("__k"), "left")
+    out = out.withColumns({"n_links": F.coalesce("__l", F.lit(0).cast("long")), "component_id": F.when(F.col("__k").isNotNull(), F.col("__c")).otherwise(F.col("vec_id"))})
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).drop("__key", "__k", "__c", "__l")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

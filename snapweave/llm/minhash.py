@@ -272,10 +272,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # Only texts with copies or links differ from their own doc_id: the others need no join.
     copied = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key", F.lit(True).alias("copied"))
     grouped = nodes.join(named.select("root", F.col("least").alias("component"), "n"), "root").join(copied, "__key", "left")
-    grouped = materialize(grouped.where("n > 1 OR copied").select(F.col("__key").alias("__k"), "component"), "classes")
+    grouped = materialize(grouped.where("n > 1 OR copied").select(F.col("__key").alias("__k"), F.col("component").alias("__c")), "classes")
     out = keyed.join(checked_broadcast(grouped), F.col("__key") == F.col("__k"), "left")
-    out = out.withColumn("component_id", F.when(F.col("__k").isNotNull(), F.col("component")).otherwise(F.col("doc_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("__key", "__k", "component")
+    out = out.withColumn("component_id", F.when(F.col("__k").isNotNull(), F.col("__c")).otherwise(F.col("doc_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("__key", "__k", "__c")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

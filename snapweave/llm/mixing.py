@@ -156,12 +156,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     cut = of.join(cut_in, _same(of, cut_in, "range")).select(of["source"], of["size"], of["range"], "draw", "extra", "before")
     cut = cut.withColumn("rank", F.row_number().over(in_range) + F.col("before")).where("rank = extra").select("source", "size", F.col("draw").alias("cut"))
     whole = plan.join(cut, _same(plan, cut), "left").select(
-        plan["source"].alias("__s"), plan["size"].alias("__z"), "n", "source_size", "target", "passes", "extra", "cut"
+        plan["source"].alias("__s"), plan["size"].alias("__z"), "source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("n", "passes", "extra", "cut")]
     )
     whole = checked_broadcast(materialize(whole, "plan"), limit=100_000)
     out = sized.join(whole, sized["source"].eqNullSafe(whole["__s"]) & (sized["size"] == whole["__z"]))
-    drawn = (F.col("extra") > 0) & ((F.col("extra") >= F.col("n")) | F.coalesce(draw <= F.col("cut"), F.lit(False)))
-    out = out.withColumn("copies", F.col("passes") + drawn.cast("long"))
+    drawn = (F.col("__extra") > 0) & ((F.col("__extra") >= F.col("__n")) | F.coalesce(draw <= F.col("__cut"), F.lit(False)))
+    out = out.withColumn("copies", F.col("__passes") + drawn.cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 

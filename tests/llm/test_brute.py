@@ -13,6 +13,7 @@ from snapweave.llm import chat, common, decontaminate, embeddings, langid, licen
 from snapweave.llm.common import components, prefix_sums, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, matches int"
+CLASHES = "n extra cut passes key comp component links band least node root units bands pos gone th h1 taken copies n_hit items score spans layout u v a b".split()
 
 
 def fold(text):
@@ -43,7 +44,8 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame(rows, DOCS).repartition(5)
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    return df.withColumns({c: F.lit(c) for c in CLASHES})
 
 
 @pytest.fixture(params=["broadcast", "shuffle"])
@@ -291,6 +293,7 @@ def test_embeddings(spark, joins):
     nan, inf = float("nan"), float("inf")
     rows += [(2000, None, 1, "c"), (2001, [0.0] * 16, 1, "c"), (2002, [nan] + [1.0] * 15, 1, "c"), (2003, [inf] + [1.0] * 15, 1, "c"), (2004, [None] + [1.0] * 15, 1, "c"), (2005, [], 1, "c"), (2006, [1.0] * 3, 1, "c"), (2007, [2.0] * 3, 1, "c"), (2001, [0.0] * 16, 1, "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string").repartition(4)
+    df = df.withColumns({c: F.lit(c) for c in CLASHES})
     ok = [i for i, r in enumerate(rows) if r[1] and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])]
     n, root = Counter(), list(range(len(rows)))
 
