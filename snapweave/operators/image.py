@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import modes
+from ..plans.ordered import running
 from .tree import dirents
 
 # Fixed values of the image format.
@@ -18,11 +19,12 @@ def layout(tree: DataFrame) -> DataFrame:
     directory, then the files' blocks, each in the order of nid. Empty data has offset 0."""
     length = F.when(F.col("is_dir"), F.lit(BLOCK)).otherwise(F.col("size")).cast("long")
     out = tree.withColumn("data_len", length).withColumn("n_blocks", F.ceil(F.col("data_len") / BLOCK).cast("long"))
-    whole = W.partitionBy("image")
-    so_far = whole.orderBy((~F.col("is_dir")).cast("int"), "nid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    base = META_BLOCK + F.ceil(F.count("*").over(whole) * SLOT / BLOCK).cast("long")
-    first = base + F.sum("n_blocks").over(so_far) - F.col("n_blocks")
-    return out.withColumn("data_offset", F.when(F.col("data_len") > 0, first * BLOCK).otherwise(F.lit(0).cast("long")))
+    order = [(~F.col("is_dir")).cast("int"), F.col("nid")]
+    summed = running(out, "image", order, "__index", "__before", F.col("n_blocks"))
+    counts = tree.groupBy("image").agg((META_BLOCK + F.ceil(F.count("*") * SLOT / BLOCK)).cast("long").alias("__base"))
+    first = F.col("__base") + F.col("__before")
+    placed = summed.join(counts, "image").withColumn("data_offset", F.when(F.col("data_len") > 0, first * BLOCK).otherwise(F.lit(0).cast("long")))
+    return placed.select(*out.columns, "data_offset")
 
 
 def totals(tree: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blobs import is_lazy
 
 
-def plan(snapshot: DataFrame, local: DataFrame, threshold: int = -1) -> DataFrame:
-    """``snapshot`` with action: skip (the local file has the digest), lazy or eager."""
+def plan(snapshot: DataFrame, local: DataFrame, threshold: int | Column = -1) -> DataFrame:
+    """``snapshot`` with action: skip (the local file has the digest), lazy or eager. The threshold
+    may be a column of ``snapshot``."""
     have = local.select("path", F.col("sha256").alias("__local")).dropDuplicates(["path"])
     same = F.col("__local").isNotNull() & (F.col("__local") == F.col("sha256"))
     action = F.when(same, "skip").when(is_lazy(F.col("size"), threshold), "lazy").otherwise("eager")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import modes, paths
+from ..plans.ordered import running
 
 
 def implied_dirs(files: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
@@ -19,15 +20,14 @@ def nodes(files: DataFrame, image: str = "image") -> DataFrame:
     """All nodes of each image's tree from ``files(image, path, is_dir, mode, size)``: the root,
     implied directories, and the files, numbered in pre-order with children by name.
 
-    Ordering by the components of paths is pre-order: a parent is a prefix of its children. Numbers
-    of one image come from one window over its nodes; images are independent."""
+    Ordering by the components of paths is pre-order: a parent is a prefix of its children. Nodes are
+    numbered along ranges of that order, so a large image is spread over many tasks."""
     implied = implied_dirs(files, (image,)).select(image, "path", F.lit(True).alias("is_dir"), F.lit(0o755).alias("mode"), F.lit(0).cast("long").alias("size"))
     roots = files.select(image).distinct().select(image, F.lit("").alias("path"), F.lit(True).alias("is_dir"), F.lit(0o755).alias("mode"), F.lit(0).cast("long").alias("size"))
     rows = files.select(image, "path", "is_dir", F.col("mode").cast("int").alias("mode"), F.col("size").cast("long").alias("size"))
     every = rows.unionByName(implied).unionByName(roots)
     mode = F.when(F.col("is_dir"), F.col("mode").bitwiseOR(modes.S_IFDIR)).otherwise(modes.default_type(F.col("mode")))
-    order = W.partitionBy(image).orderBy("__parts")
-    numbered = every.withColumns({"mode": mode, "__parts": paths.parts(F.col("path"))}).withColumn("nid", F.row_number().over(order).cast("long") - 1)
+    numbered = running(every.withColumns({"mode": mode, "__parts": paths.parts(F.col("path"))}), image, [F.col("__parts")], "nid")
     name = F.coalesce(F.try_element_at("__parts", F.lit(-1)), F.lit(""))
     own = numbered.select(image, "nid", name.alias("name"), "path", paths.parent(F.col("path")).alias("__up"), "is_dir", "mode", "size")
     ups = numbered.select(image, F.col("path").alias("__up"), F.col("nid").alias("parent_nid"))

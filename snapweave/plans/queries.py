@@ -242,8 +242,9 @@ def _plan(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
 SELECT th.threshold, n.*, CASE WHEN b.sha256 = n.sha256 THEN 'skip' WHEN th.threshold >= 0 AND n.size >= th.threshold THEN 'lazy' ELSE 'eager' END AS action
 FROM new n CROSS JOIN th LEFT JOIN (SELECT path, sha256 FROM base WHERE doc_id % 2 = 0) b ON b.path = n.path""")
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = [_plan(spark, sf_dir, t).withColumn("threshold", F.lit(t)) for t in (-1, 0, 4096)]
-    return plans[0].unionByName(plans[1]).unionByName(plans[2])
+    thresholds = F.explode(F.array(*[F.lit(t) for t in (-1, 0, 4096)]))
+    new = snapshot_commit(spark, sf_dir).withColumn("threshold", thresholds)
+    return restore.plan(new, fx.base(spark, sf_dir).where("doc_id % 2 = 0"), F.col("threshold"))
 
 
 @_query(f"""WITH {_COMMIT}, new AS ({_AFTER}),
