@@ -291,3 +291,24 @@ def dedup(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select("doc_id", "component_id", "kept")
+
+
+SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT text, min(doc_id) AS least,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL GROUP BY text),
+tx AS (SELECT row_number() OVER (ORDER BY least) AS id, text, least, w FROM t),
+sh AS (
+  SELECT id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 3))) AS p FROM tx WHERE len(w) > 0)),
+e AS (SELECT id, s, row_number() OVER (PARTITION BY id, s) AS k FROM sh),
+n AS (SELECT id, count(*) AS n FROM e GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.k = b.k AND a.id < b.id GROUP BY a.id, b.id),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.id = o.a JOIN n y ON y.id = o.b WHERE c >= 0.8 * (x.n + y.n - c)),
+s2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id AS a, id AS b FROM tx UNION SELECT r.a, s2.b FROM r JOIN s2 ON r.b = s2.a),
+m AS (SELECT r.a, min(tx.least) AS component FROM r JOIN tx ON tx.id = r.b GROUP BY r.a)
+SELECT d.doc_id, coalesce(m.component, d.doc_id) AS component_id, d.doc_id = coalesce(m.component, d.doc_id) AS kept
+FROM documents d LEFT JOIN tx ON d.text = tx.text LEFT JOIN m ON m.a = tx.id
+"""

@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
+        "op4_minhash": minhash.SQL,
         "op5_line_dedup": line_dedup.SQL,
         "op6_chat": chat.SQL,
         "op7_embeddings": embeddings.SQL,
