@@ -71,16 +71,16 @@ def build(tree: DataFrame, contents: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("idx", entry.alias("e"), F.hex(F.encode("name", "utf-8")).alias("n"))))
     joined = lambda f: F.array_join(F.transform("rows", lambda r: r[f]), "")
     blocks = offsets.groupBy("image", F.col("dir_nid").alias("nid")).agg(rows.alias("rows")).select("image", "nid", F.concat(joined("e"), joined("n")).alias("raw"))
-    fits = F.when(F.length("raw") <= 2 * BLOCK, F.col("raw")).otherwise(F.raise_error(F.lit("directory overflows its block")).cast("string"))
-    data = blocks.select("image", "nid", fits.alias("raw")).unionByName(contents.select("image", "nid", F.hex(F.col("content").cast("binary")).alias("raw")))
-    with_data = placed.join(data, ["image", "nid"], "left").withColumn("raw", F.coalesce("raw", F.lit("")))
-    sized = F.when(F.col("is_dir") | (F.length("raw") == 2 * F.col("data_len")), F.col("raw")).otherwise(F.raise_error(F.lit("content is not of the declared size")).cast("string"))
+    fits = F.when(F.length("raw") <= 2 * BLOCK, F.unhex("raw")).otherwise(F.raise_error(F.lit("directory overflows its block")).cast("binary"))
+    data = blocks.select("image", "nid", fits.alias("raw")).unionByName(contents.select("image", "nid", F.col("content").cast("binary").alias("raw")))
+    with_data = placed.join(data, ["image", "nid"], "left").withColumn("raw", F.coalesce("raw", F.unhex(F.lit(""))))
+    sized = F.when(F.col("is_dir") | (F.length("raw") == F.col("data_len")), F.col("raw")).otherwise(F.raise_error(F.lit("content is not of the declared size")).cast("binary"))
     zeros = lambda n: F.unhex(F.lit("00" * n))
     inode = F.concat(
         zeros(4), le(F.col("mode"), 2), le(F.when(F.col("is_dir"), 2).otherwise(1), 2), le(F.col("data_len"), 4), zeros(4),
         le(F.floor(F.col("data_offset") / BLOCK), 4), le(F.col("nid"), 4), zeros(8),
     )
-    each = with_data.select("image", F.struct("nid", F.hex(inode).alias("inode")).alias("i"), F.struct("data_offset", _padded(sized, F.col("n_blocks") * BLOCK).alias("raw")).alias("d"))
+    each = with_data.select("image", F.struct("nid", F.hex(inode).alias("inode")).alias("i"), F.struct("data_offset", "n_blocks", sized.alias("raw")).alias("d"))
     both = each.groupBy("image").agg(F.array_sort(F.collect_list("i")).alias("i"), F.array_sort(F.collect_list("d")).alias("d"))
     total = totals(tree).withColumnRenamed("image", "__i")
     both = both.join(total, F.col("image") == F.col("__i"))
@@ -90,5 +90,5 @@ def build(tree: DataFrame, contents: DataFrame) -> DataFrame:
     first = F.concat(F.lit("00" * SUPER_OFFSET), F.hex(block))
     inodes = F.array_join(F.transform("i", lambda x: x["inode"]), "")
     size = F.ceil(F.size("i") * SLOT / BLOCK) * BLOCK
-    whole = F.concat(_padded(first, F.lit(BLOCK)), _padded(inodes, size), F.array_join(F.transform("d", lambda x: x["raw"]), ""))
+    whole = F.concat(_padded(first, F.lit(BLOCK)), _padded(inodes, size), F.array_join(F.transform("d", lambda x: _padded(F.hex(x["raw"]), x["n_blocks"] * BLOCK)), ""))
     return both.select("image", F.unhex(whole).alias("content"))

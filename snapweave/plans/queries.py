@@ -11,9 +11,12 @@ from ..operators import access, blobs, fsck, image, layers, mounts, oplog, resto
 from ..sources import image as image_source
 from . import fixtures as fx
 from .durable import materialize
+from .ordered import running
 
 #: Depth that the walk over the fixture's edges may reach.
 WALK_DEPTH = 8
+#: Blocks of data between the beginnings of two images of documents.
+IMAGE_BLOCKS = 64
 
 _PATH = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt'"
 _DEAD = "(lang = 'fr' AND source IN ('src3', 'src4'))"
@@ -386,14 +389,25 @@ def dir_block_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(nodes.select("image", F.col("nid").alias("dir_nid"), F.col("name").alias("dir_name")), ["image", "dir_nid"]).select("image", "dir_name", "bytes")
 
 
+def _document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in images as bytes. Those of a language are dealt along their ids to images that
+    begin at most IMAGE_BLOCKS blocks apart (an empty file counts as one), so an image is bounded by
+    that and one file, and its directory by so many entries."""
+    docs = fx.documents(spark, sf_dir)
+    blocks = F.greatest(F.ceil(F.col("size") / image.BLOCK), F.lit(1))
+    placed = running(docs.select("lang", "doc_id", "mode", "size"), "lang", [F.col("doc_id")], "idx", "before", blocks)
+    name = F.concat("lang", F.lit("-"), F.floor(F.col("before") / IMAGE_BLOCKS).cast("string"))
+    files = placed.select("doc_id", name.alias("image"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(False).alias("is_dir"), "mode", "size")
+    nodes = materialize(tree.nodes(files.drop("doc_id")), "nodes")
+    places = nodes.where("NOT is_dir").join(files.select("doc_id", "image", "path"), ["image", "path"]).select("doc_id", "image", "nid")
+    data = docs.select("doc_id", "content").join(places, "doc_id").select("image", "nid", "content")
+    return materialize(image.build(nodes, data), "images")
+
+
 @_query(None)
 def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small images (documents of doc_id % 20 = 0, by language) written as bytes and read back."""
-    docs = fx.documents(spark, sf_dir).where("doc_id % 20 = 0")
-    files = docs.select(F.col("lang").alias("image"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(False).alias("is_dir"), "mode", "size", "content")
-    nodes = tree.nodes(files.drop("content"))
-    data = nodes.where("NOT is_dir").join(files.select("image", "path", "content"), ["image", "path"]).select("image", "nid", "content")
-    images = materialize(image.build(nodes, data), "images")
+    """All documents written to images of bounded size, by language, and read back."""
+    images = _document_images(spark, sf_dir)
     names = image_source.dirents(images).where(~F.col("name").isin(".", "..")).select("image", "nid", "name")
     back = image_source.file_contents(images).join(names, ["image", "nid"])
     return back.select("image", "nid", "name", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"))
@@ -401,18 +415,15 @@ def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(None)
 def fsck_superblock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of sound and damaged images, one image for each nation's parity and damage."""
-    rows = fx.table(spark, sf_dir, "nation").select((F.col("n_regionkey") % 2).cast("string").alias("image"), F.concat(F.col("n_name"), F.lit(".txt")).alias("path"), F.lit(False).alias("is_dir"), F.lit(0o644).alias("mode"), F.length("n_name").alias("size"), F.col("n_name").alias("content"))
-    nodes = tree.nodes(rows.drop("content"))
-    data = nodes.where("NOT is_dir").join(rows.select("image", "path", "content"), ["image", "path"]).select("image", "nid", "content")
-    images = materialize(image.build(nodes, data), "images")
+    """Violations of the images of all documents, each of them sound and with each damage."""
+    images = _document_images(spark, sf_dir)
     at = lambda n, x: F.concat(F.substr("content", F.lit(1), F.lit(n)), F.unhex(F.lit(x)), F.substr("content", F.lit(n + 1 + len(x) // 2)))
     damage = {"none": F.col("content"), "magic": at(1024, "00"), "checksum": at(1028, "00000001"), "blocks": at(1024 + 36, "00000000"), "short": F.substr("content", F.lit(1), F.lit(1100))}
     out = None
     for name, content in damage.items():
         one = images.select(F.concat("image", F.lit("-" + name)).alias("image"), content.alias("content"))
         out = one if out is None else out.unionByName(one)
-    return fsck.fsck(materialize(out, "damaged"))
+    return fsck.fsck(out)
 
 
 # --- checks ---
