@@ -4,8 +4,9 @@ Templates are hashed in runs of K words; of every WINNOW consecutive runs the le
 inverted index leads from a kept run to its templates and places. A text's runs that stand in the
 index give hits; hits of one template on nearby diagonals are a candidate. A banded alignment of the
 template with the text around them, whose ends in the text are free, gives the matched words, the
-coverage of the template and the span. Candidates of enough coverage count; of those of one template
-that overlap in a text the best stays.
+coverage of the template and the span. Candidates of enough coverage count; the best of a template
+stays, and the template is aligned again with what is left around it, until no more reaches the
+coverage, so occurrences side by side all count and those of one template never overlap.
 
 The templates are a fixed list in this module (or one that the caller gives), so the index that
 tasks get is bounded by it. Texts are read once, whole, and never shuffled.
@@ -17,7 +18,9 @@ null doc_ids too; a column named matches is replaced. Spans count code points, e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +94,12 @@ def align(template: list[int], ids: list[int], low: int, high: int) -> tuple[int
     """Best alignment of a template with ids on the diagonals from low to high (place in the ids
     less place in the template): matched words, first and last + 1 matched place. The ends in the
     ids are free; a match gains 1, a differing or missing word costs 1 or is left out at the rim."""
+    best = _best(template, ids, low, high)
+    return best[1:] if best[1] else None
+
+
+def _best(template: list[int], ids: list[int], low: int, high: int) -> tuple[int, int, int, int]:
+    """As ``align``, with the score before the matched words."""
     width = high - low + 1
     # For each diagonal: score, matched, first matched place, one after the last.
     row = [(0, 0, -1, -1)] * width
@@ -109,8 +118,7 @@ def align(template: list[int], ids: list[int], low: int, high: int) -> tuple[int
                 best = (new[d - 1][0] - 1, *new[d - 1][1:])
             new.append(best)
         row = new
-    best = max(row, key=lambda x: (x[1], x[0], -x[2]))
-    return best[1:] if best[1] else None
+    return max(row, key=lambda x: (x[1], x[0], -x[2]))
 
 
 def _candidates(hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -125,6 +133,40 @@ def _candidates(hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     yield begin, last
 
 
+def _occurrences(template: list[int], ids: list[int], hits: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int]]:
+    """Matched words, first and last + 1 place of all occurrences of a template, none over another:
+    the best first, then the best of what its neighbours and itself leave of the candidates."""
+    queue: list[tuple[int, int, int, int, int, int, int, int]] = []
+
+    def aligned(begin: int, end: int, low: int, high: int) -> Iterator[tuple]:
+        if end - begin < coverage * len(template):
+            return
+        score, n, a, b = _best(template, ids[begin:end], low - begin, high - begin)
+        if n and n >= coverage * len(template):
+            yield -n, -score, a + begin, b + begin, begin, end, low, high
+
+    for low, high in _candidates(hits):  # each with the piece of the text that the band can touch
+        queue += aligned(max(0, low - BAND), min(len(ids), high + BAND + len(template)), low - BAND, high + BAND)
+    heapify(queue)
+    starts: list[int] = []
+    found: list[tuple[int, int, int]] = []  # by place
+    while queue:
+        n, _, a, b, begin, end, low, high = heappop(queue)
+        at = bisect_left(starts, a)
+        if not (at and found[at - 1][2] > a or at < len(found) and found[at][1] < b):
+            starts.insert(at, a)
+            found.insert(at, (-n, a, b))
+        at = max(0, bisect_left(starts, begin) - 1)
+        while at < len(found) and found[at][1] < end:
+            for x in aligned(begin, min(found[at][1], end), low, high):
+                heappush(queue, x)
+            begin = max(begin, found[at][2])
+            at += 1
+        for x in aligned(begin, end, low, high):
+            heappush(queue, x)
+    return found
+
+
 def scan_shard(texts: list[str], index: Index, coverage: float = COVERAGE) -> list[list[dict]]:
     """For each text its matches, by place."""
     get = index.vocabulary.get
@@ -139,21 +181,8 @@ def scan_shard(texts: list[str], index: Index, coverage: float = COVERAGE) -> li
                 hits.setdefault(t, []).append((int(p), q))
         found = []
         for t, own in sorted(hits.items()):
-            template, ranked = index.texts[t], []
-            for low, high in _candidates(own):
-                begin = max(0, low - BAND)  # the piece of the text that the band can touch
-                piece = ids[begin : high + BAND + len(template)]
-                got = align(template, piece, low - BAND - begin, high + BAND - begin)
-                if got and got[0] >= coverage * len(template):
-                    ranked.append((-got[0], got[1] + begin, got[2] + begin))
-            taken: dict[int, tuple[int, int]] = {}  # by blocks of a template's length: what may overlap is near
-            step = len(template) + 2 * BAND
-            for n, a, b in sorted(ranked):
-                near = [taken[k] for c in range(a // step - 1, b // step + 2) for k in (2 * c, 2 * c + 1) if k in taken]
-                if any(a < y and x < b for x, y in near):
-                    continue
-                taken[2 * (a // step) + (2 * (a // step) in taken)] = (a, b)
-                found.append((a, b, index.names[t], -n, -n / len(template)))
+            template = index.texts[t]
+            found += [(a, b, index.names[t], n, n / len(template)) for n, a, b in _occurrences(template, ids, own, coverage)]
         if found:
             place = [m.span() for m in _WORD.finditer(text)]
             found = [{"license": name, "coverage": c, "matched": n, "start": place[a][0], "end": place[b - 1][1]} for a, b, name, n, c in sorted(found)]
