@@ -1,12 +1,13 @@
 """Personal data in texts, on DataFrame functions only.
 
 Regular expressions propose spans; validators (Luhn, mod 97, numeric ranges) confirm them; words
-shortly before a span raise its score. Base kinds (email, ip, card, phone) are kept by their
+shortly before or after a span raise its score. Base kinds (email, ip, card, phone) are kept by their
 pattern and validator alone; further kinds (iban, ssn, tel) need a score of ``MIN_SCORE``.
 
 Patterns are written with possessive repeats, so that each scans a text in linear time and
 without deep recursion, whatever the text holds; they match what the plain greedy forms match.
-Places come from the lengths of the pieces between matches, so a text is never cut twice.
+Places come from the lengths of the pieces between matches, and context from the ends of the pieces
+and matches around a span, so a text is never cut twice.
 
 Defined results: null text counts as empty and has no spans; rows, repeated ones and those of
 null doc_id too, keep all their columns (those named like a result are replaced). Matches that
@@ -24,8 +25,10 @@ from .common import prefix_sums
 
 #: Score from which a span of a further kind counts.
 MIN_SCORE = 0.7
-#: Code points before a span in which context words are looked for.
+#: Code points before a span, and after it, in which context words are looked for.
 CONTEXT = 40
+#: Matches of one kind that may stand in CONTEXT code points: each has two of its own at least.
+_NEAR = CONTEXT // 2
 
 
 def _digits(s: Column) -> Column:
@@ -94,18 +97,33 @@ def spans(text: Column, rank: int, kind: str, pattern: str, valid: Callable | No
     """All spans of one kind: array<struct<start, rank, kind, end, score>>."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    before = prefix_sums(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: (F.length(p) + F.length(m)).cast("long")))
+    own, rest = F.slice(pieces, 1, F.size(found)), F.slice(pieces, 2, F.size(found))
+    before = prefix_sums(F.zip_with(own, found, lambda p, m: (F.length(p) + F.length(m)).cast("long")))
     words = rf"(?i)(?:^|[^a-z])(?:{context})"
-    rows = F.transform(
-        F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), before.alias("b")),
-        lambda x: F.struct(
+    last, first = lambda s: F.right(s, F.lit(CONTEXT)), lambda s: F.left(s, F.lit(CONTEXT))
+    # The ends of each match with the piece before it, and with the piece after it.
+    upto = F.zip_with(own, found, lambda p, m: last(F.concat(last(p), last(m))))
+    on = F.zip_with(found, rest, lambda m, p: first(F.concat(first(m), first(p))))
+    each = F.arrays_zip(own.alias("p"), found.alias("m"), before.alias("b"), rest.alias("r"))
+
+    def near(z: Column, x: Column, i: Column) -> Column:
+        low = F.greatest(i - _NEAR, F.lit(0))
+        left = last(F.concat(F.array_join(F.slice(z["upto"], low + 1, i - low), ""), last(x["p"])))
+        right = first(F.concat(first(x["r"]), F.array_join(F.slice(z["on"], i + 2, F.lit(_NEAR)), "")))
+        return left.rlike(words) | right.rlike(words)
+
+    def row(z: Column, x: Column, i: Column) -> Column:
+        return F.struct(
             (x["b"] + F.length(x["p"])).alias("start"),
             F.lit(rank).alias("rank"),
             F.lit(kind).alias("kind"),
             (x["b"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
-            F.when((valid or (lambda _: F.lit(True)))(x["m"]), F.when(F.right(x["p"], F.lit(CONTEXT)).rlike(words), F.lit(min(1.0, score + 0.2))).otherwise(F.lit(score))).otherwise(F.lit(0.0)).alias("score"),
-        ),
-    )
+            F.when((valid or (lambda _: F.lit(True)))(x["m"]), F.when(near(z, x, i), F.lit(min(1.0, score + 0.2))).otherwise(F.lit(score))).otherwise(F.lit(0.0)).alias("score"),
+        )
+
+    # An array of one, so that what the rows share is computed once.
+    shared = F.array(F.struct(each.alias("each"), upto.alias("upto"), on.alias("on")))
+    rows = F.flatten(F.transform(shared, lambda z: F.transform(z["each"], lambda x, i: row(z, x, i))))
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
     return F.when(F.size(found) > 0, F.filter(rows, lambda x: x["score"] >= least)).otherwise(empty)
 

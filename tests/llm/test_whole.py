@@ -1,8 +1,9 @@
 """Operators on texts: nothing that a text holds is left out."""
 
 import random
+import re
 
-from snapweave.llm import licenses
+from snapweave.llm import licenses, pii
 
 
 def whole(template, ids):
@@ -32,3 +33,28 @@ def test_adjacent_licenses():
             got = [(m["matched"], len(licenses.words(text[: m["start"]])), len(licenses.words(text[: m["end"]]))) for m in found if m["license"] == name]
             assert got == want, (name, text)
     assert [len(f) for f in licenses.scan_shard(texts[:3], index)] == [2, 40, 100]
+
+
+def test_context_of_personal_data(spark):
+    rnd = random.Random(6)
+    fixed = [
+        "my ssn 123-45-6789 and 234-56-7890", "call 555-123-4567 or 555-765-4321 or 555-222-3333", "123-45-6789, 234-56-7890 are social security numbers",
+        "555-123-4567 (mobile)", "ssn 000-45-6789 123-45-6789", "no 123-45-6789 or 555-123-4567", "é😀 tel " + "x" * 36 + " 555-123-4567", "😀 tel " + "é" * 35 + " 555-123-4567",
+        "card 4111111111111111 4111 1111 1111 1111 1 1 22 33", "a@b.c a@b.d mail",
+    ]
+    parts = ["ssn ", "call ", "hotel ", "é😀 ", "xx ", "yyyyyyyyyyyyyyyy ", "123-45-6789 ", "000-12-3456 ", "555-123-4567 ", "a@b.c ", "1.2.3.4 ", "+49301234567 ", "12 ", "4111111111111111, "]
+    texts = fixed + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(300)]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    kinds = {k[0]: k for k in pii.BASE + pii.FURTHER}
+    for r in got:
+        have = {(e.kind, e.start, e.end): e.score for e in r.entities}
+        for kind, score in (("ssn", 0.5), ("tel", 0.5), ("email", 0.8)):
+            want = {}
+            for m in re.finditer(kinds[kind][1].replace(r"\G|", ""), r.text):
+                sides = r.text[max(0, m.start() - pii.CONTEXT) : m.start()], r.text[m.end() : m.end() + pii.CONTEXT]
+                near = any(re.search(f"(?i)(?:^|[^a-z])(?:{kinds[kind][4]})", s) for s in sides)
+                if not m[0].startswith("000") and score + 0.2 * near >= (pii.MIN_SCORE if kind in ("ssn", "tel") else 0):
+                    want[(kind, m.start(), m.end())] = min(1.0, score + 0.2 * near)
+            assert {k: v for k, v in have.items() if k[0] == kind} == want, (kind, r.text)
+    docs = spark.createDataFrame([(0, fixed[0]), (1, fixed[1])], "doc_id long, text string")
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["my ssn <ssn> and <ssn>", "call <tel> or <tel> or <tel>"]
