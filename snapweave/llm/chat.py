@@ -8,9 +8,7 @@ strings inside roles and texts (those of this template and of other common ones)
 after their first character, one more than they have; taking one away gives the text back.
 
 Defined results: null text and role count as empty. Records of an unknown fingerprint have no turns
-and name no layout, so they can be counted; so have records that are null or not JSON, or that hold
-one string of over 20 million characters, which Spark's JSON functions do not read. Rows pass
-with all columns, repeated rows and null ids too; columns named like a result are replaced. Turns of
+and name no layout, so they can be counted; so have records that are null or not JSON. Rows pass with all columns, repeated rows and null ids too; columns named like a result are replaced. Turns of
 one conversation come in the order of turn, then role, then text.
 """
 
@@ -27,9 +25,12 @@ from .common import prefix_sums
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _CONTROL = r"\||/?s>|<SYS>>|</SYS>>|/?INST\]"
 
-#: Characters from which a record that is no variant is looked at by its outer names alone.
+#: Characters from which a record that is no variant is compared with the declared layouts.
 LARGE = 8_000_000
 
+#: Options of JSON readers: strings of any length.
+_ANY_LENGTH = {"maxStringLen": "2147483647"}
+
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -91,23 +92,47 @@ def _shape(paths: tuple[str, ...]) -> str:
     return write(tree)
 
 
-def _large_paths(record: Column) -> Column:
-    """As ``field_paths`` for a record too large for a variant, as far as layouts need: names at the
-    top, and those of the first object of an array."""
-    names = lambda r: F.array_sort(F.json_object_keys(r))
+def _large_shape(record: Column) -> Column:
+    """The shape of the declared layout that a record too large for a variant has, or null."""
 
-    def field(k: Column) -> Column:
-        inner = names(F.call_function("get_json_object", record, F.concat(F.lit("$."), k, F.lit("[0]"))))
-        nested = F.concat(F.lit("[{"), F.array_join(F.transform(inner, lambda x: F.concat(x, F.lit(": "))), ", "), F.lit(">>"))
-        return F.concat(k, F.lit(": "), F.coalesce(nested, F.lit("")))
+    def names(schema: str, *path: str) -> Column:
+        at = F.from_json(record, schema, _ANY_LENGTH)
+        for k in path:
+            at = at[k]
+        return F.array_sort(F.map_keys(at))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(names(record), field), ", "), F.lit(">"))
+    shape = F.lit(None).cast("string")
+    for own in LAYOUTS:
+        top = F.array(*[F.lit(n) for n in sorted({p.replace("[]", "").split(".")[0] for p in own.paths})])
+        fits = names("map<string,string>") == top
+        if own.each:
+            path, role, text = own.each
+            schema, outer = "array<map<string,string>>", path.split(".")
+            for depth in range(1, len(outer)):
+                own_schema = "map<string,string>"
+                for k in reversed(outer[:depth]):
+                    own_schema = f"struct<`{k}`:{own_schema}>"
+                fits &= names(own_schema, *outer[:depth]) == F.array(F.lit(outer[depth]))
+            for k in reversed(outer):
+                schema = f"struct<`{k}`:{schema}>"
+            items = F.from_json(record, schema, _ANY_LENGTH)
+            for k in outer:
+                items = items[k]
+            inner = F.array_sort(F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(F.map_keys(x), F.array().cast("array<string>"))))))
+            fits &= inner == F.array(*[F.lit(n) for n in sorted((role, text))])
+        else:  # texts, no objects or arrays
+            for kind in ("map<string,string>", "array<string>"):
+                row = F.from_json(record, ",".join(f"`{n}` {kind}" for n in own.paths), _ANY_LENGTH)
+                for n in own.paths:
+                    fits &= row[n].isNull()
+        shape = F.when(fits, F.lit(_shape(own.paths))).otherwise(shape)
+    return shape
 
 
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a JSON record; null if it is no JSON."""
     paths = field_paths(F.try_parse_json(record))
-    return F.xxhash64(F.when(paths.isNull() & (F.length(record) > LARGE), _large_paths(record)).otherwise(paths))
+    return F.xxhash64(F.when(paths.isNull() & (F.length(record) > LARGE), _large_shape(record)).otherwise(paths))
 
 
 def _role(role: Column) -> Column:
@@ -120,10 +145,15 @@ def _read(layout: Layout, record: Column) -> Column:
     """Canonical turns of a record of this layout."""
     if layout.each:
         path, role, text = layout.each
-        items = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`:string,`{text}`:string>>")
+        schema, outer = f"array<struct<`{role}`:string,`{text}`:string>>", path.split(".")
+        for k in reversed(outer):
+            schema = f"struct<`{k}`:{schema}>"
+        items = F.from_json(record, schema, _ANY_LENGTH)
+        for k in outer:
+            items = items[k]
         return F.transform(items, lambda x: F.struct((_role(x[role]) if layout.renames else F.coalesce(x[role], F.lit(""))).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
     names = sorted({f for _, fs in layout.fields for f in fs})
-    row = F.from_json(record, ",".join(f"`{n}` string" for n in names))
+    row = F.from_json(record, ",".join(f"`{n}` string" for n in names), _ANY_LENGTH)
     turns = []
     for role, fields in layout.fields:
         parts = F.filter(F.array(*[F.coalesce(row[f], F.lit("")) for f in fields]), lambda x: x != "") if len(fields) > 1 else None

@@ -3,7 +3,9 @@
 import random
 import re
 
-from snapweave.llm import licenses, pii
+from pyspark.sql import functions as F
+
+from snapweave.llm import chat, licenses, pii
 
 
 def whole(template, ids):
@@ -58,3 +60,18 @@ def test_context_of_personal_data(spark):
             assert {k: v for k, v in have.items() if k[0] == kind} == want, (kind, r.text)
     docs = spark.createDataFrame([(0, fixed[0]), (1, fixed[1])], "doc_id long, text string")
     assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["my ssn <ssn> and <ssn>", "call <tel> or <tel> or <tel>"]
+
+
+def test_chats_with_very_long_texts(spark):
+    n = 21_000_000
+    forms = [
+        ('{"messages":[{"role":"user","content":"', '"},{"role":"assistant","content":"ok"}]}'), ('{"conversations":[{"from":"human","value":"', '"},{"from":"gpt","value":"ok"}]}'),
+        ('{"data":{"turns":[{"speaker":"human","utterance":"', '"},{"speaker":"bot","utterance":"ok"}]}}'), ('{"prompt":"', '","response":"ok"}'), ('{"output":"ok","input":"","instruction":"', '"}'),
+    ]
+    none = [('{"unknown":"', '"}'), ('{"prompt":{"a":"', '"},"response":"ok"}'), ('{"messages":"', '"}'), ('{"prompt":"', '", no json')]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(forms + none)], "id int, a string, b string").repartition(9)
+    records = df.select("id", F.concat("a", F.repeat(F.lit("x"), F.lit(n)), "b").alias("record"))
+    turns = F.transform("turns", lambda t: F.concat_ws(":", t["role"], F.length(t["text"])))
+    got = {r.id: (r.layout, r.t) for r in chat.canonical(records).select("id", "layout", turns.alias("t")).collect()}
+    layouts = ["messages", "shares", "nested", "prompt", "instruction"]
+    assert got == {i: (name, [f"user:{n}", "assistant:2"]) for i, name in enumerate(layouts)} | {i: (None, []) for i in range(5, 9)}
