@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import decontaminate, langid, line_dedup, minhash, mixing
-from snapweave.llm.common import materialize
+from snapweave.llm.common import materialize, set_aside
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later occurrences of three-line windows; a document goes if all its lines
     stand in earlier ones. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.where("n_removed = 0 OR length(text) > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    aside, own = set_aside(docs, "doc_id", "text")
+    out = line_dedup.dedup_lines(aside).where("n_removed = 0 OR length(text) > 0").select(*own)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

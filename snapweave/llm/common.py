@@ -48,6 +48,13 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= min(limit, BROADCAST_ROWS) else df
 
 
+def set_aside(docs: DataFrame, *read: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but those that are ``read`` renamed, so that no result takes the place
+    of one, and the columns that give them their names back."""
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in read}
+    return docs.withColumnsRenamed(own), [F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def prefix_sums(xs: Column) -> Column:
     """Exclusive prefix sums of an array of longs, as an array of the same length.
 

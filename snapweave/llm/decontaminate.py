@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import FOLD, slices, trimmed
+from .common import FOLD, set_aside, slices, trimmed
 
 #: Words of a window.
 WINDOW = 10
@@ -198,8 +198,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns and rows, that hold no window of the benchmark."""
-    found = find_matches(docs, benchmark, window)
-    return found.where(F.size("matches") == 0).select([F.col(f"`{c}`") for c in docs.columns if c in found.columns])
+    aside, own = set_aside(docs, "text")
+    return find_matches(aside, benchmark, window).where(F.size("matches") == 0).select(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

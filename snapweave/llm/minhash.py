@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import FOLD, checked_broadcast, components, materialize, mix, slices, trimmed, word_hashes
+from .common import FOLD, checked_broadcast, components, materialize, mix, set_aside, slices, trimmed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -281,11 +281,12 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each class, with the columns of ``docs``: that of the least doc_id. Rows of null
     doc_id stay only where their whole class has none, and then one of each text."""
-    marked = classes(docs)
+    aside, names = set_aside(docs, "doc_id", "text")
+    marked = classes(aside)
     own = marked.where("kept")
     own = own.withColumn("__key", key_of(F.col("text")))
     lone = own.where("text IS NULL").drop("__key", "component_id", "kept")
-    return own.where("text IS NOT NULL").dropDuplicates(["doc_id", "__key"]).drop("__key", "component_id", "kept").unionByName(lone)
+    return own.where("text IS NOT NULL").dropDuplicates(["doc_id", "__key"]).drop("__key", "component_id", "kept").unionByName(lone).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from snapweave.llm import chat, licenses, pii
 
 
@@ -75,3 +76,14 @@ def test_chats_with_very_long_texts(spark):
     got = {r.id: (r.layout, r.t) for r in chat.canonical(records).select("id", "layout", turns.alias("t")).collect()}
     layouts = ["messages", "shares", "nested", "prompt", "instruction"]
     assert got == {i: (name, [f"user:{n}", "assistant:2"]) for i, name in enumerate(layouts)} | {i: (None, []) for i in range(5, 9)}
+
+
+def test_stages_keep_columns_named_like_results(spark, tmp_path):
+    names = ["n_words", "matches", "n_lines", "n_removed", "component_id", "kept", "__key", "__id", "bytes", "a.b"]
+    texts = ["a text of its own about rivers\nand hills and more", "another one about ships and the long sea", "\n".join(["one line", "two line", "three line", "four line"])]
+    rows = [(i, t, len(t), *[f"{n} {i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.dedup_near, corpus_pipeline.remove_benchmark):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == rows, stage.__name__
