@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import decontaminate, langid, line_dedup, minhash, mixing
-from snapweave.llm.common import materialize, set_aside
+from snapweave.llm.common import set_aside
+from snapweave.plans.durable import discard, keep, materialize, scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope() as made:  # a stage's own tables go when its result is written
+            after = keep(made, materialize(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
