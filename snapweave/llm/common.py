@@ -1,45 +1,22 @@
-"""Helpers shared by the training-data operators: durable intermediate tables, checked
-broadcasts, prefix sums over arrays, connected components and hashing of words in bulk."""
+"""Helpers shared by the training-data operators: checked broadcasts, prefix sums over arrays,
+connected components and hashing of words in bulk."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import discard, materialize
+
 #: Rows of a side that may be broadcast once it has been written and counted.
 BROADCAST_ROWS = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder is set."""
-    sc = spark.sparkContext
-    path = sc._jsc.sc().getCheckpointDir()
-    if path.isDefined():
-        return path.get()
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors and gives the optimizer the real size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table of narrow rows for broadcast if it has at most ``limit`` rows.
 
@@ -74,31 +51,50 @@ def prefix_sums(xs: Column) -> Column:
     return F.when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
+#: A key with more than this share of all rows is joined by a broadcast of its one row; there are at
+#: most 1 / HOT_SHARE such keys.
+HOT_SHARE = 1e-4
+
+
+def join_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """``rows(u, v)`` with m of ``least(u, m, k)``, one row for each u with k, its number of rows.
+
+    Rows of a hot u (a hub) stay where they are: its m comes by a broadcast of a bounded table. The
+    rest is shuffled by u, of which each has at most HOT_SHARE of all rows then."""
+    hot = F.broadcast(least.where(F.col("k") > n_rows * HOT_SHARE).select("u", "m"))
+    rest = least.where(F.col("k") <= n_rows * HOT_SHARE).select("u", "m")
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(rest, "u"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, root), root the smallest node of each.
 
-    Alternating large-star and small-star steps; each is a map-side combined minimum per node
-    and a join back, and ends in a written table. Nodes without edges do not appear.
-    Loops and null ends are ignored; no edges give no rows."""
+    Alternating large-star and small-star steps; each is a map-side combined minimum per node and a
+    join back that leaves hubs where they are, and ends in a written table; tables of a round go
+    with the next one. Nodes without edges do not appear. Loops and null ends are ignored; no edges
+    give no rows."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges")
+    own = lambda d: d.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = mark(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first, so that the join reads two plain tables and Spark can split a hub's rows.
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Written first, so that the join reads two plain tables.
+        least = materialize(own(both).withColumn("m", F.least("u", "m")), "least")
+        large = join_least(both, least, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
+        under = materialize(own(large), "least")
+        small = join_least(large, under, now[0])
         small = (
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
         small = materialize(small, "small")
-        mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done, e = mark(e) == mark(small), small
-        if done:
+        discard(e, least, large, under)
+        before, now, e = now, mark(small), small
+        if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )

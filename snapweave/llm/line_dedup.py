@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checked_broadcast, materialize
+from ..plans.durable import materialize
+from .common import checked_broadcast
 
 #: Lines of a window.
 LINES = 3

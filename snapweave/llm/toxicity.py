@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import materialize
 from ..ship import ship
-from .common import FOLD, checked_broadcast, materialize, mix, slices, trimmed, word_hashes
+from .common import FOLD, checked_broadcast, mix, slices, trimmed, word_hashes
 from .langid import fold
 
 #: Labelled documents of the fit, about.

@@ -13,7 +13,7 @@ from snapweave.llm import chat, common, decontaminate, embeddings, langid, licen
 from snapweave.llm.common import components, prefix_sums, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, matches int"
-CLASHES = "n extra cut passes key comp component links band least node root units bands pos gone th h1 taken copies n_hit items score spans layout u v a b".split()
+CLASHES = "n extra cut passes key comp component links band least node root units bands pos gone th h1 taken copies n_hit items score spans layout u v a b n_words matches kept component_id n_lines n_removed size target".split()
 
 
 def fold(text):
@@ -116,7 +116,7 @@ def test_decontamination(spark, docs, rows, block):
     items = [(1, " ".join(a[2:20])), (1, " ".join(a[2:20])), (2, "ONE"), (30, " ".join(b[:12]).upper()), (4, ""), (5, None), (None, " ".join(b[4:15])), (6, "never there at all in any of these texts of ours")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.find_matches(docs, bench, block_bytes=block)
-    covered, ids = decontaminate.hit_columns(F.col("matches"))
+    covered, ids = decontaminate.n_covered(F.col("matches")), F.array_sort(F.array_distinct("items"))
     got = sorted(((r[0], r[1], r[2], r[3], r[4]) for r in out.select("doc_id", F.md5("text"), "n_words", covered, ids).collect()), key=str)
     want = sorted(((r[0], hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else None, *spans_of(r[1], items)) for r in rows), key=str)
     assert got == want
