@@ -11,10 +11,15 @@ dart, the text goes on to twice the rank.
 
 Texts that are equal are one node from the start, so a group of copies costs one row however large
 it is. Bands of the signatures are joined without pairs inside a bucket: each member is compared
-with one centre, exactly, on its shingles; linked nodes are contracted, and only in buckets that
-still hold several components, members of different ones are compared, in blocks of bounded size:
-signatures first, then shingles. A block gives the links that connect components, not all pairs.
-So no link between texts that share a band is lost.
+with one centre, exactly, on its shingles, and linked nodes are contracted. Only buckets that still
+hold several components go on: there the members outside the largest one (usually few) are compared
+with all members of other components, in blocks of bounded size, so what is dealt grows with the
+members and not with their pairs. A block gives the links that connect components. Signatures sieve
+the pairs of a block before the exact comparison on 64-bit hashes.
+
+What can be lost is what the hashing loses: a pair at a similarity of exactly 0.8 shares no band with
+a probability of 3 in a million, and agrees in under SIEVE of the coordinates with one of 2 in a
+billion; both fall as the similarity rises. No other link is left out.
 
 Defined results: words are runs of ASCII letters (A-Z folded), digits and non-ASCII characters; a
 text of under five words is one shingle. Texts without words link only to equal texts, null texts
@@ -32,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import discard, materialize
 from ..ship import ship
-from .common import FOLD, checked_broadcast, components, materialize, mix, set_aside, slices, trimmed, word_hashes
+from .common import FOLD, checked_broadcast, components, mix, set_aside, slices, trimmed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Coordinates of a signature: BANDS bands of ROWS. A pair of similarity 0.8 shares a band with
 #: probability 1 - (1 - 0.8**5)**32, all but 3 in a million.
 BANDS, ROWS = 32, 5
-#: Members of a bucket whose signatures are compared in one block.
-BLOCK = 512
+#: Least share of coordinates that signatures agree in, for a pair in a block to be compared exactly.
+SIEVE = 0.6
+#: Members of a bucket on either side of a block, and weight units there (or one larger text).
+BLOCK, BLOCK_UNITS = 512, 2_000_000
+#: Pairs with one centre that may be compared in one task.
+CENTRE_ROWS = 50_000
 _U = np.uint64
 
 
@@ -135,14 +145,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, texts in _batches(batches):
         units, doc = elements(texts)
-        short = (units >> _U(32)).astype(np.uint32).view(np.int32)
-        order = np.lexsort((short, doc))
-        short, doc = short[order], doc[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (short[1:] != short[:-1]) | (doc[1:] != doc[:-1])
-        short, doc = short[new], doc[new]
-        cut = np.split(short, np.searchsorted(doc, np.arange(1, len(texts))))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int32()))], ["key", "units"])
+        units = units.view(np.int64)
+        order = np.lexsort((units, doc))
+        cut = np.split(units[order], np.searchsorted(doc[order], np.arange(1, len(texts))))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["key", "units"])
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -153,24 +159,29 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def _forest(rows: list[tuple]) -> tuple[list, list]:
-    """Links among one group's members of different components, enough to span what they connect.
+    """Links of one block between its outsiders and members of other components, enough to span
+    what they connect.
 
-    Pairs whose signatures agree in so many coordinates that a similarity of 0.8 is possible (four
-    deviations of 160 draws) are compared on their shingles, likely ones first, unless other links
-    already connect them. A pair that shares several bands is compared in the first one."""
+    Pairs are compared on their shingles, likely ones first, unless other links already connect them.
+    A pair that shares several bands is compared in the first one, two outsiders in one direction."""
     band = rows[0][0]
-    sig = np.stack([np.frombuffer(r[5], np.uint8) for r in rows])
-    bands = np.stack([r[8] for r in rows])
-    comp = np.unique(np.array([r[3].hex() for r in rows]), return_inverse=True)[1]
-    size, half = np.array([r[4] for r in rows]), np.array([r[6] for r in rows])
-    same_half = rows[0][1] == rows[0][2]
+    left = np.array([i for i, r in enumerate(rows) if r[3]], int)
+    right = np.array([i for i, r in enumerate(rows) if not r[3]], int)
+    if not len(left) or not len(right):
+        return [], []
+    key = [r[5] for r in rows]
+    sig = np.stack([np.frombuffer(r[8], np.uint8) for r in rows])
+    bands = np.stack([r[9] for r in rows])
+    comp = np.unique(np.array([r[6].hex() for r in rows]), return_inverse=True)[1]
+    size = np.array([r[7] for r in rows])
+    inside = ~np.array([r[4] for r in rows])  # in the bucket's largest component
+    place = np.unique(np.array([k.hex() for k in key]), return_inverse=True)[1]
     found = []
-    for i in range(len(rows) - 1):
-        o = np.arange(i + 1, len(rows))
-        o = o[(comp[o] != comp[i]) & (same_half | (half[o] != half[i]))]
+    for i in left.tolist():
+        o = right[(comp[right] != comp[i]) & (inside[right] | (place[right] > place[i]))]
         o = o[np.minimum(size[o], size[i]) >= SIMILARITY * np.maximum(size[o], size[i])]
         agree = (sig[o] == sig[i]).mean(axis=1)
-        likely = agree >= SIMILARITY - 0.15
+        likely = agree >= SIEVE
         o, agree = o[likely], agree[likely]
         if len(o):
             first = (bands[o] == bands[i]).argmax(axis=1)
@@ -183,24 +194,24 @@ def _forest(rows: list[tuple]) -> tuple[list, list]:
             root[x] = x = root[root[x]]
         return x
 
-    left, right = [], []
+    out: tuple[list, list] = ([], [])
     for _, i, j in sorted(found):
         a, b = find(int(comp[i])), find(int(comp[j]))
         if a != b:
-            both = len(np.intersect1d(rows[i][9], rows[j][9], assume_unique=True))
-            if both >= SIMILARITY * (len(rows[i][9]) + len(rows[j][9]) - both):
+            both = len(np.intersect1d(rows[i][10], rows[j][10], assume_unique=True))
+            if both >= SIMILARITY * (len(rows[i][10]) + len(rows[j][10]) - both):
                 root[max(a, b)] = min(a, b)
-                left.append(rows[i][7])
-                right.append(rows[j][7])
-    return left, right
+                out[0].append(key[i])
+                out[1].append(key[j])
+    return out
 
 
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_forest`` of each group (band, lo, hi) of rows, which come sorted by it."""
+    """``_forest`` of each block (band, of outsiders, of members) of rows, which come sorted by it."""
     kept: list[tuple] = []
     for batch in batches:
         out: tuple[list, list] = ([], [])
-        columns = [c.to_pylist() for c in batch.columns[:8]] + [_lists(c) for c in batch.columns[8:]]
+        columns = [c.to_pylist() for c in batch.columns[:9]] + [_lists(c) for c in batch.columns[9:]]
         for row in zip(*columns, strict=True):
             if kept and kept[-1][:3] != row[:3]:
                 a, b = _forest(kept)
@@ -218,13 +229,37 @@ def key_of(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _verify(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose weighted Jaccard similarity reaches SIMILARITY."""
+def _verify(pairs: DataFrame, units: DataFrame, copies: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b, parts)`` whose weighted Jaccard similarity reaches SIMILARITY.
+
+    The pairs with one b are dealt to ``parts`` tasks; ``copies(b, parts)`` has the most of each b."""
     left = units.select(F.col("key").alias("a"), F.col("units").alias("ua"))
-    right = units.select(F.col("key").alias("b"), F.col("units").alias("ub"))
+    right = units.join(copies.select(F.col("b").alias("key"), "parts"), "key")
+    right = right.select(F.col("key").alias("b"), F.col("units").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     both = F.size(F.array_intersect("ua", "ub"))
     all_ = F.size("ua") + F.size("ub") - both
-    return pairs.join(left, "a").join(right, "b").where(both >= SIMILARITY * all_).select("a", "b")
+    return dealt.join(left, "a").join(right, ["b", "part"]).where(both >= SIMILARITY * all_).select("a", "b")
+
+
+def outsiders(placed: DataFrame) -> DataFrame:
+    """(band, main, left, right) of the buckets of ``placed(band, key, size, comp)`` that hold several
+    components: the one of most members, and the blocks of members outside it and of all members."""
+    parts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sums = parts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max(F.struct("n", "comp", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c"))
+    number = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_UNITS)).cast("int")
+    return sums.where("c > 1").select("band", "main", number(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("left"), number(F.col("n"), F.col("s")).alias("right"))
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """``members(band, key, comp, main, left, right, ...)`` dealt to the blocks (band, lo, hi): an
+    outsider to one for each block of members, a member to one for each block of outsiders."""
+    out = F.col("comp") != F.col("main")
+    lo, hi = F.pmod(F.xxhash64("key"), F.col("left")).cast("int"), F.pmod(F.xxhash64("key"), F.col("right")).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    given = members.where(out).withColumns({"lo": lo, "hi": to("right"), "given": F.lit(True), "out": F.lit(True)})
+    asked = members.withColumns({"lo": to("left"), "hi": hi, "given": F.lit(False), "out": out})
+    return given.unionByName(asked)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -235,28 +270,28 @@ def links(docs: DataFrame) -> DataFrame:
     signed = texts.mapInArrow(trimmed(_sign), "key binary, size long, bands array<long>, sig binary").dropDuplicates(["key"])
     signed = materialize(signed, "signatures")
     rows = signed.select(F.explode("bands").alias("band"), "key", "size")
-    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.xxhash64("key")).alias("centre")).where("n > 1").select("band", "centre")
+    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.xxhash64("key")).alias("centre")).where("n > 1")
+    buckets = buckets.select("band", "centre", F.ceil(F.col("n") / CENTRE_ROWS).cast("int").alias("parts"))
     shared = materialize(rows.join(checked_broadcast(materialize(buckets, "buckets")), "band"), "shared")
-    centres = shared.where(F.xxhash64("key") == F.col("centre")).select("band", F.col("key").alias("b"), F.col("size").alias("size_b"))
+    centres = shared.where(F.xxhash64("key") == F.col("centre")).select("band", F.col("key").alias("b"), F.col("size").alias("size_b"), "parts")
     near = F.least("size", "size_b") >= SIMILARITY * F.greatest("size", "size_b")
-    pairs = shared.join(centres, "band").where((F.col("key") != F.col("b")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-    pairs = materialize(pairs.distinct(), "pairs")
+    pairs = shared.drop("parts").join(centres, "band").where((F.col("key") != F.col("b")) & near)
+    pairs = materialize(pairs.groupBy(F.col("key").alias("a"), "b").agg(F.max("parts").alias("parts")), "pairs")
     nodes = checked_broadcast(materialize(shared.select("key").distinct(), "nodes"))
-    units = materialize(texts.join(nodes, "key", "left_semi").mapInArrow(trimmed(_units), "key binary, units array<int>").dropDuplicates(["key"]), "units")
-    first = materialize(_verify(pairs, units), "links")
+    units = materialize(texts.join(nodes, "key", "left_semi").mapInArrow(trimmed(_units), "key binary, units array<long>").dropDuplicates(["key"]), "units")
+    copies = checked_broadcast(materialize(pairs.groupBy("b").agg(F.max("parts").alias("parts")), "copies"))
+    first = materialize(_verify(pairs, units, copies), "links")
     # Buckets that still hold several components: compare members of different ones, in blocks.
     roots = components(first)
     placed = shared.select("band", "key", "size").join(roots, F.col("key") == F.col("node"), "left")
     placed = materialize(placed.select("band", "key", "size", F.coalesce("root", "key").alias("comp")), "placed")
-    open_ = placed.groupBy("band").agg(F.countDistinct("comp").alias("c"), F.count("*").alias("n")).where("c > 1")
-    open_ = open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(open_, "band").join(signed.select("key", "sig", "bands"), "key").join(units, "key")
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "size", "sig", "block", "key", "bands", "units"
-    )
+    open_ = materialize(outsiders(placed), "open")
+    members = placed.join(checked_broadcast(open_), "band").join(signed.select("key", "sig", "bands"), "key").join(units, "key")
+    dealt = blocks(members).select("band", "lo", "hi", "given", "out", "key", "comp", "size", "sig", "bands", "units")
     dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    return materialize(first.unionByName(dealt.mapInArrow(trimmed(_connect), "a binary, b binary")), "links")
+    more = materialize(dealt.mapInArrow(trimmed(_connect), "a binary, b binary"), "links")
+    discard(signed, shared, pairs, units, placed, open_)
+    return first.unionByName(more)
 
 
 def classes(docs: DataFrame) -> DataFrame:
