@@ -2,9 +2,10 @@
 
 Unit vectors are projected to eight dimensions, once per table, and decoded to the nearest point of
 the E8 lattice; a vector goes to its own cell and to its nearest neighbouring cells. Vectors of one
-label that meet in a cell are compared by cosine in double precision, in blocks of bounded size, and
-a block gives a spanning forest of its links, not all pairs. Links make components; the links of a
-vector all lie in its component, where they are counted, exactly, in blocks as well.
+label that meet in a cell are compared by cosine in double precision, in blocks of bounded size.
+A block gives a spanning forest of its links, not all pairs, and for each vector the number of its
+links; a pair counts in the first cell (the least hash) that both vectors go to, so once, wherever
+else it meets. Work and rows grow with what shares a cell, not with what a chain of links joins.
 
 Equal vectors of one label are one node with a count from the start, so copies cost one row.
 
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import discard, materialize
 from ..ship import ship
-from .common import checked_broadcast, components, materialize, mix, trimmed
+from .common import checked_broadcast, components, mix, trimmed
 
 COSINE = 0.98
 #: Tables; neighbouring cells that a vector goes to in each; width of a lattice unit.
@@ -118,61 +120,83 @@ def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple,
         yield kept[-1][:n], kept
 
 
-def _sides(group: tuple, rows: list[tuple]) -> tuple[list[int], list[int]]:
-    """Rows of either side of a block pair (group, lo, hi, block, ...); one block meets itself."""
-    left = [i for i, r in enumerate(rows) if r[3] == group[1]]
-    return left, (left if group[1] == group[2] else [i for i, r in enumerate(rows) if r[3] == group[2]])
+def _sides(group: tuple, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of either side of a block pair (group, lo, hi, block, ...) by the length of their vectors
+    (of which a cell holds one but for collisions of hashes); one block meets itself."""
+    block, size = np.array([r[3] for r in rows]), np.array([len(r[5]) for r in rows])
+    for d in np.unique(size).tolist():
+        left = np.flatnonzero((block == group[1]) & (size == d))
+        yield left, (left if group[1] == group[2] else np.flatnonzero((block == group[2]) & (size == d)))
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between n nodes, as few as connect what all of them connect."""
+    root = np.arange(n)
+    a, b = [], []
+    while len(i):  # each turn hooks every tree to the least one that it touches
+        ri, rj = root[i], root[j]
+        apart = ri != rj
+        i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
+        if not len(i):
+            break
+        high, low = np.maximum(ri, rj), np.minimum(ri, rj)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+        a.append(i[first])
+        b.append(j[first])
+        root[high[first]] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+        # every member points to a row that is a root of this turn
+    none = np.zeros(0, int)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _met_before(cell: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of two tables of cells share a cell before ``cell``."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 20_000):
+        x, y = a[k : k + 20_000], b[k : k + 20_000]
+        for c in range(a.shape[1]):
+            out[k : k + 20_000] |= (x[:, c] < cell) & (y == x[:, c : c + 1]).any(axis=1)
+    return out
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group, rows in _groups(batches, 3):
-        if len({len(r[5]) for r in rows}) > 1:
-            continue  # a collision of cell hashes of other lengths
-        left, right = _sides(group, rows)
-        unit, labels = _unit([r[5] for r in rows]), np.array([r[6] for r in rows])
-        i, j = np.nonzero((unit[left] @ unit[right].T >= COSINE) & (labels[left][:, None] == labels[right][None, :]))
-        i, j = np.array(left, int)[i], np.array(right, int)[j]
-        root = np.arange(len(rows))
-        a, b = [], []
-        while len(i):  # each turn hooks every tree to the least one that it touches
-            ri, rj = root[i], root[j]
-            apart = ri != rj
-            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
-            if not len(i):
-                break
-            high, low = np.maximum(ri, rj), np.minimum(ri, rj)
-            order = np.lexsort((low, high))
-            first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
-            a += [rows[k][4] for k in i[first].tolist()]
-            b += [rows[k][4] for k in j[first].tolist()]
-            root[high[first]] = low[first]
-            while (root[root] != root).any():
-                root = root[root]
-            # every member points to a row that is a root of this turn
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-
-
-def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block its links (a, b) that span what they connect, and (a, links): how many links a
+    vector has by pairs that meet here first."""
     for group, rows in _groups(batches, 3):
-        left, right = _sides(group, rows)
-        unit, n = _unit([r[5] for r in rows]), np.array([r[6] for r in rows], np.int64)
-        linked = unit[left] @ unit[right].T >= COSINE
-        counts = np.zeros(len(rows), np.int64)
-        if group[1] == group[2]:
-            np.fill_diagonal(linked, False)
-            counts[left] = linked @ n[right]
-        else:
-            counts[left], counts[right] = linked @ n[right], linked.T @ n[left]
-        yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.string()), pa.array(counts, pa.int64())], ["key", "links"])
-
-
-def _blocks(members: DataFrame, group: str, sizes: DataFrame, *more: str) -> DataFrame:
-    """Members of each group dealt to block pairs: a group of n goes to (n / BLOCK)**2 / 2 of them."""
-    parts = sizes.select(group, F.ceil(F.col("n_in") / BLOCK).cast("int").alias("parts"))
-    dealt = members.join(parts, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        for left, right in _sides(group, rows):
+            if not len(left) or not len(right):
+                continue
+            unit = _unit([rows[i][5] for i in left])
+            labels = np.array([r[6] for r in rows])
+            other = unit if left is right else _unit([rows[i][5] for i in right])
+            linked = (unit @ other.T >= COSINE) & (labels[left][:, None] == labels[right][None, :])
+            if left is right:
+                linked = np.triu(linked, 1)
+            i, j = np.nonzero(linked)
+            i, j = left[i], right[j]
+            a, b = _spanning(i, j, len(rows))
+            cells_ = np.array([rows[k][8] for k in range(len(rows))], np.int64)
+            new = ~_met_before(group[0], cells_[i], cells_[j])
+            n = np.array([r[7] for r in rows], np.int64)
+            counts = np.zeros(len(rows), np.int64)
+            np.add.at(counts, i[new], n[j[new]])
+            np.add.at(counts, j[new], n[i[new]])
+            some = np.flatnonzero(counts)
+            keys = [rows[k][4] for k in [*a.tolist(), *some.tolist()]]
+            to = [rows[k][4] for k in b.tolist()] + [None] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(to, pa.string()), pa.array([None] * len(a) + counts[some].tolist(), pa.int64())], ["a", "b", "links"])
+
+
+def blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of each cell dealt to block pairs: those of a cell of n go to n / BLOCK of them each,
+    so what is dealt for a cell grows with its pairs, divided by BLOCK."""
+    parts = sizes.select("cell", F.ceil(F.col("n_in") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(group, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "embedding", *more)
-    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return dealt.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "embedding", "label", "n", "cells")
 
 
 def link_vectors(vectors: DataFrame) -> DataFrame:
@@ -188,19 +212,23 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
         F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first(F.col("label").cast("long")).alias("label"), F.first("embedding").alias("embedding")
     )
     nodes = materialize(nodes, "nodes")
-    hashes = nodes.select("key", "label", "embedding").mapInArrow(trimmed(_hash), "key string, cells array<long>")
-    rows = materialize(hashes.select("key", F.explode("cells").alias("cell")), "cells")
+    hashes = materialize(nodes.select("key", "label", "embedding").mapInArrow(trimmed(_hash), "key string, cells array<long>"), "cells")
+    rows = hashes.select("key", F.explode(F.array_distinct("cells")).alias("cell"))
     shared = materialize(rows.groupBy("cell").agg(F.count("*").alias("n_in")).where("n_in > 1"), "shared")
-    members = rows.join(checked_broadcast(shared.select("cell")), "cell").join(nodes.select("key", "embedding", "label"), "key")
-    edges = _blocks(members, "cell", shared, "label").mapInArrow(trimmed(_forest), "a string, b string")
-    roots = components(edges)
-    linked = materialize(nodes.join(roots, F.col("key") == F.col("node")).select("key", "root", "least", "n", "embedding"), "linked")
-    sizes = linked.groupBy("root").agg(F.count("*").alias("n_in"), F.min("least").alias("component"))
-    degrees = _blocks(linked, "root", sizes, "n").mapInArrow(trimmed(_degrees), "key string, links long").groupBy("key").agg(F.sum("links").alias("links"))
-    of_linked = linked.join(sizes, "root").join(degrees, "key").select("key", "component", (F.col("links") + F.col("n") - 1).alias("links"))
-    copies = nodes.where("n > 1").join(roots, F.col("key") == F.col("node"), "left_anti").select("key", F.col("least").alias("component"), (F.col("n") - 1).alias("links"))
-    found = checked_broadcast(materialize(of_linked.unionByName(copies).toDF("__k", "__c", "__l"), "found"))
-    out = keyed.join(found, F.col("__key") == F.col("__k"), "left")
+    members = rows.join(checked_broadcast(shared.select("cell")), "cell").join(nodes.select("key", "embedding", "label", "n"), "key").join(hashes, "key")
+    dealt = blocks(members, shared).repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    found = materialize(dealt.mapInArrow(trimmed(_compare), "a string, b string, links long"), "links")
+    discard(hashes, shared)
+    roots = components(found.where("b IS NOT NULL").select("a", "b"))
+    degrees = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    own = nodes.select("key", "least", "n").join(roots, F.col("key") == F.col("node"), "left")
+    own = materialize(own.join(degrees, "key", "left").select("key", "least", "n", "root", F.coalesce("links", F.lit(0).cast("long")).alias("links")).where("root IS NOT NULL OR n > 1"), "linked")
+    discard(found)
+    names = own.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
+    some = own.where("root IS NOT NULL").join(checked_broadcast(materialize(names, "names")), "root").select("key", "component", (F.col("links") + F.col("n") - 1).alias("links"))
+    copies = own.where("root IS NULL").select("key", F.col("least").alias("component"), (F.col("n") - 1).alias("links"))
+    known = checked_broadcast(materialize(some.unionByName(copies).toDF("__k", "__c", "__l"), "found"))
+    out = keyed.join(known, F.col("__key") == F.col("__k"), "left")
     out = out.withColumns({"n_links": F.coalesce("__l", F.lit(0).cast("long")), "component_id": F.when(F.col("__k").isNotNull(), F.col("__c")).otherwise(F.col("vec_id"))})
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).drop("__key", "__k", "__c", "__l")
 
