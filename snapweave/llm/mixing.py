@@ -8,7 +8,9 @@ over the lengths that remain, and of each length the wanted number is drawn by a
 
 Only counts meet in one place: a group of the fit holds one row per distinct length of a source.
 A length that very many documents share is drawn through hash ranges of about the root of their number each,
-so no source and no length lands in one task. Weights and levels come from distributed aggregates
+so no source and no length lands in one task. Words of texts are counted once into a narrow table of
+sizes and draws, on which all planning works; only where the result keeps the texts are they read, and
+counted, once more. Weights and levels come from distributed aggregates
 over the sources; sources are numbered by range partitions, not in one task.
 
 Defined results: null text has size 0; null source is a source of its own and comes last. Rows
@@ -25,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.durable import discard, materialize
 from ..ship import ship
-from .common import checked_broadcast, materialize
+from .common import checked_broadcast
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -36,7 +39,7 @@ SEED = 17
 #: Words of a budget that the knapsack fits; what is beyond is filled in proportion.
 KNAPSACK_WORDS = 65_536
 #: Documents of one length are ranked in hash ranges of so many rows, or of the root of their number.
-RANGE_ROWS = 256
+RANGE_ROWS = 64
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -127,13 +130,14 @@ def _same(left: DataFrame, right: DataFrame, *more: str) -> Column:
     return on
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """All documents with size, source_size, target (its source's), copies and taken (words)."""
-    ship(docs.sparkSession)
-    docs = docs.drop(*ADDED)
-    sized = docs.withColumn("size", size_of(F.col("text")))
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with size and draw, a seeded number of each (doc_id, text)."""
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 1)
-    thin = sized.select("source", "size", draw.alias("draw"))
+    return docs.withColumns({"size": size_of(F.col("text")), "__draw": draw})
+
+
+def _planned(thin: DataFrame, weights: tuple, share: float, most: float, seed: int) -> DataFrame:
+    """For each source and size of ``thin(source, size, __draw)`` what the mix takes of it."""
     counts = materialize(thin.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goal = targets(totals, weights, share, most)
@@ -146,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     n_ranges = F.ceil(F.col("n") / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt("n")))
     some = checked_broadcast(plan.where("extra > 0 AND extra < n").select("source", "size", "extra", n_ranges.alias("parts")), limit=100_000)
     of = thin.join(some, _same(thin, some)).select(
-        thin["source"], thin["size"], "draw", "extra", F.least(F.col("parts") - 1, F.floor(F.col("draw") / float(1 << 63) * F.col("parts"))).alias("range")
+        thin["source"], thin["size"], F.col("__draw").alias("draw"), "extra", F.least(F.col("parts") - 1, F.floor(F.col("__draw") / float(1 << 63) * F.col("parts"))).alias("range")
     )
     of_length = W.partitionBy("source", "size").orderBy("range")
     before = of.groupBy("source", "size", "range", "extra").agg(F.count("*").alias("k"))
@@ -158,14 +162,36 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     whole = plan.join(cut, _same(plan, cut), "left").select(
         plan["source"].alias("__s"), plan["size"].alias("__z"), "source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("n", "passes", "extra", "cut")]
     )
-    whole = checked_broadcast(materialize(whole, "plan"), limit=100_000)
+    whole = materialize(whole, "plan")
+    discard(counts, plan)
+    return checked_broadcast(whole, limit=100_000)
+
+
+def _taken(sized: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``sized(source, size, __draw, ...)`` with the results, by a plan."""
     out = sized.join(whole, sized["source"].eqNullSafe(whole["__s"]) & (sized["size"] == whole["__z"]))
-    drawn = (F.col("__extra") > 0) & ((F.col("__extra") >= F.col("__n")) | F.coalesce(draw <= F.col("__cut"), F.lit(False)))
+    drawn = (F.col("__extra") > 0) & ((F.col("__extra") >= F.col("__n")) | F.coalesce(F.col("__draw") <= F.col("__cut"), F.lit(False)))
     out = out.withColumn("copies", F.col("__passes") + drawn.cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
+    return out.select(*[F.col(f"`{c}`") for c in columns], *ADDED)
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """All documents with size, source_size, target (its source's), copies and taken (words)."""
+    ship(docs.sparkSession)
+    docs = docs.drop(*ADDED)
+    sized = _sized(docs, seed)
+    thin = materialize(sized.select("source", "size", "__draw"), "sizes")
+    return _taken(sized, _planned(thin, weights, share, most, seed), *docs.columns)
+
+
+def mix_ids(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """As ``mix``, but of the documents only doc_id and source; texts are read once."""
+    ship(docs.sparkSession)
+    thin = materialize(_sized(docs.select("doc_id", "text", "source"), seed).drop("text"), "sizes")
+    return _taken(thin, _planned(thin, weights, share, most, seed), "doc_id", "source")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_ids(docs).select("doc_id", "size", "source_size", "target", "taken")
