@@ -2,10 +2,13 @@
 
 Regular expressions propose spans; validators (Luhn, mod 97, numeric ranges) confirm them; words
 shortly before or after a span raise its score. Base kinds (email, ip, card, phone) are kept by their
-pattern and validator alone; further kinds (iban, ssn, tel) need a score of ``MIN_SCORE``.
+pattern and validator alone; further kinds (iban, ssn, tel, secret) need a score of ``MIN_SCORE``.
+Secrets are values of well-known forms, and values assigned to a name like token or password that
+are long hexadecimal numbers or of high entropy.
 
 Patterns are written with possessive repeats, so that each scans a text in linear time and
 without deep recursion, whatever the text holds; they match what the plain greedy forms match.
+Each kind is searched only in texts that pass a cheaper test which all its matches imply (its guard).
 Places come from the lengths of the pieces between matches, and context from the ends of the pieces
 and matches around a span, so a text is never cut twice.
 
@@ -16,7 +19,9 @@ a validator drops are not tried again at another place. Spans count code points,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,33 +83,49 @@ def _ssn(s: Column) -> Column:
     return ~(s.rlike("^(000|666|9)") | F.substr(s, F.lit(5), F.lit(2)).eqNullSafe("00") | s.endswith("0000"))
 
 
-# Kind, pattern, validator, score of a confirmed span, context words that raise it.
+def entropy(s: Column) -> Column:
+    """Bits of entropy of a character of ``s``."""
+    n = F.length(s).cast("double")
+    share = lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n
+    return F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc - F.when(c != "", share(c) * F.log2(share(c))).otherwise(F.lit(0.0)))
+
+
+#: Bits of entropy of a character, and hexadecimal digits, from which an assigned value is a secret.
+ENTROPY, HEX_DIGITS = 3.5, 32
+
+
+def _secret(s: Column) -> Column:
+    mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+    return s.rlike(f"^(?:{_TOKENS})") | s.rlike(f"^[0-9A-Fa-f]{{{HEX_DIGITS},}}$") | (mixed & (entropy(s) >= ENTROPY))
+
+
+# Beginnings of well-known secrets, and the ends of names that secrets are assigned to.
+_TOKENS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20}|xox[abprs]-[A-Za-z0-9-]{10}|sk-[A-Za-z0-9]{20}|eyJ[A-Za-z0-9_-]{10,}\.eyJ"
+_NAMES = "token|secret|password|passwd|pwd|key|credential|credentials|Token|Secret|Password|Key|TOKEN|SECRET|PASSWORD|PASSWD|PWD|KEY|CREDENTIAL|CREDENTIALS"
+_VALUE = r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{15,}+"
+
+# Kind, guard (a text, a pattern, or several of which one is there), pattern, validator, score of a confirmed span,
+# context words that raise it.
 BASE = (
-    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, 0.8, "mail|contact|write"),
-    ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, 0.7, "ip|server|host|address"),
-    ("card", r"[0-9](?:[ -]?[0-9])++", lambda s: _between(12, 19)(s) & luhn(s), 0.8, "card|visa|credit|karte|carte|tarjeta"),
-    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", _between(9, 15), 0.8, "phone|call|tel|mobile|fax"),
+    ("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, 0.8, "mail|contact|write"),
+    ("ip", re.compile(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, 0.7, "ip|server|host|address"),
+    ("card", re.compile(r"(?:[0-9][ -]?){11}[0-9]"), r"[0-9](?:[ -]?[0-9])++", lambda s: _between(12, 19)(s) & luhn(s), 0.8, "card|visa|credit|karte|carte|tarjeta"),
+    ("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", _between(9, 15), 0.8, "phone|call|tel|mobile|fax"),
 )
 FURTHER = (
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.8, "iban|account|konto|compte|cuenta"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn, 0.5, "ssn|social security"),
-    ("tel", r"(?<![0-9+().-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", None, 0.5, "phone|call|tel|mobile|fax"),
+    ("iban", re.compile(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.8, "iban|account|konto|compte|cuenta"),
+    ("ssn", re.compile(r"[0-9]-[0-9]{2}-[0-9]"), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn, 0.5, "ssn|social security"),
+    ("tel", re.compile(r"[0-9][ .-][0-9]{3}[ .-][0-9]"), r"(?<![0-9+().-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", None, 0.5, "phone|call|tel|mobile|fax"),
+    ("secret", (re.compile(rf"""[:=][ "']{{0,2}}{_VALUE}"""), "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ"), rf"""(?<![A-Za-z0-9+/_.-])(?:(?<=(?:{_NAMES})["' ]{{0,2}}[:=][ "']{{0,2}}){_VALUE}|(?:{_TOKENS})[A-Za-z0-9+/_.=-]*+)""", _secret, 0.8, "token|secret|password|key"),
 )
 KINDS = tuple(k[0] for k in BASE + FURTHER)
 
 
-def spans(text: Column, rank: int, kind: str, pattern: str, valid: Callable | None, score: float, context: str, least: float) -> Column:
+def spans(text: Column, rank: int, kind: str, guard: str | re.Pattern | tuple, pattern: str, valid: Callable | None, score: float, context: str, least: float) -> Column:
     """All spans of one kind: array<struct<start, rank, kind, end, score>>."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    own, rest = F.slice(pieces, 1, F.size(found)), F.slice(pieces, 2, F.size(found))
-    before = prefix_sums(F.zip_with(own, found, lambda p, m: (F.length(p) + F.length(m)).cast("long")))
     words = rf"(?i)(?:^|[^a-z])(?:{context})"
     last, first = lambda s: F.right(s, F.lit(CONTEXT)), lambda s: F.left(s, F.lit(CONTEXT))
-    # The ends of each match with the piece before it, and with the piece after it.
-    upto = F.zip_with(own, found, lambda p, m: last(F.concat(last(p), last(m))))
-    on = F.zip_with(found, rest, lambda m, p: first(F.concat(first(m), first(p))))
-    each = F.arrays_zip(own.alias("p"), found.alias("m"), before.alias("b"), rest.alias("r"))
+    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
 
     def near(z: Column, x: Column, i: Column) -> Column:
         low = F.greatest(i - _NEAR, F.lit(0))
@@ -121,11 +142,24 @@ def spans(text: Column, rank: int, kind: str, pattern: str, valid: Callable | No
             F.when((valid or (lambda _: F.lit(True)))(x["m"]), F.when(near(z, x, i), F.lit(min(1.0, score + 0.2))).otherwise(F.lit(score))).otherwise(F.lit(0.0)).alias("score"),
         )
 
-    # An array of one, so that what the rows share is computed once.
-    shared = F.array(F.struct(each.alias("each"), upto.alias("upto"), on.alias("on")))
-    rows = F.flatten(F.transform(shared, lambda z: F.transform(z["each"], lambda x, i: row(z, x, i))))
-    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
-    return F.when(F.size(found) > 0, F.filter(rows, lambda x: x["score"] >= least)).otherwise(empty)
+    # Each step binds what the next one reads several times, in an array of one, so it is computed once.
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(F.array(value), then))
+
+    def placed(w: Column) -> Column:
+        own, rest = F.slice(w["pieces"], 1, F.size(w["found"])), F.slice(w["pieces"], 2, F.size(w["found"]))
+        before = prefix_sums(F.zip_with(own, w["found"], lambda p, m: (F.length(p) + F.length(m)).cast("long")))
+        # The ends of each match with the piece before it, and with the piece after it.
+        upto = F.zip_with(own, w["found"], lambda p, m: last(F.concat(last(p), last(m))))
+        on = F.zip_with(w["found"], rest, lambda m, p: first(F.concat(first(m), first(p))))
+        each = F.arrays_zip(own.alias("p"), w["found"].alias("m"), before.alias("b"), rest.alias("r"))
+        rows = bound(F.struct(each.alias("each"), upto.alias("upto"), on.alias("on")), lambda z: F.transform(z["each"], lambda x, i: row(z, x, i)))
+        return F.filter(rows, lambda x: x["score"] >= least)
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    tests = [text.rlike(g.pattern) if isinstance(g, re.Pattern) else F.contains(text, F.lit(g)) for g in (guard if isinstance(guard, tuple) else (guard,))]
+    may = reduce(lambda a, b: a | b, tests)
+    return F.when(may, bound(cut, placed)).otherwise(empty)
 
 
 def find_pii(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
