@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+def list_rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column of numbers, without nulls."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple]]:
+    """Rows of the same first ``n`` columns, which come sorted by them; lists as arrays."""
+    kept: list[tuple] = []
+    for batch in batches:
+        columns = [list_rows(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if kept and kept[-1][:n] != row[:n]:
+                yield kept
+                kept = []
+            kept.append(row)
+    if kept:
+        yield kept
+
+
 def trimmed(run):
     """A function of batches that gives memory it no longer needs back to the system at its end;
     the Python process lives on between tasks, beside the JVM's own memory."""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import discard, materialize
 from ..ship import ship
-from .common import checked_broadcast, components, mix, trimmed
+from .common import checked_broadcast, components, groups, mix, trimmed
 
 COSINE = 0.98
 #: Tables; neighbouring cells that a vector goes to in each; width of a lattice unit.
@@ -89,7 +89,7 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: f
 
 
 def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -107,22 +107,10 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own]), pa.array(list(found), pa.list_(pa.int64()))], ["key", "cells"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of the same first ``n`` columns; they come sorted by them."""
-    kept: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kept and kept[-1][:n] != row[:n]:
-                yield kept[-1][:n], kept
-                kept = []
-            kept.append(row)
-    if kept:
-        yield kept[-1][:n], kept
-
-
-def _sides(group: tuple, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _sides(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of either side of a block pair (group, lo, hi, block, ...) by the length of their vectors
     (of which a cell holds one but for collisions of hashes); one block meets itself."""
+    group = rows[0]
     block, size = np.array([r[3] for r in rows]), np.array([len(r[5]) for r in rows])
     for d in np.unique(size).tolist():
         left = np.flatnonzero((block == group[1]) & (size == d))
@@ -165,8 +153,9 @@ def _met_before(cell: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block its links (a, b) that span what they connect, and (a, links): how many links a
     vector has by pairs that meet here first."""
-    for group, rows in _groups(batches, 3):
-        for left, right in _sides(group, rows):
+    for rows in groups(batches, 3):
+        group = rows[0]
+        for left, right in _sides(rows):
             if not len(left) or not len(right):
                 continue
             unit = _unit([rows[i][5] for i in left])
@@ -178,7 +167,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.nonzero(linked)
             i, j = left[i], right[j]
             a, b = _spanning(i, j, len(rows))
-            cells_ = np.array([rows[k][8] for k in range(len(rows))], np.int64)
+            cells_ = np.stack([r[8] for r in rows])
             new = ~_met_before(group[0], cells_[i], cells_[j])
             n = np.array([r[7] for r in rows], np.int64)
             counts = np.zeros(len(rows), np.int64)
