@@ -35,8 +35,9 @@ from .langid import fold
 
 #: Labelled documents of the fit, about.
 FIT_ROWS = 12_000
-#: Features of the classifier.
-FEATURES = 3000
+#: Features of the classifier, and documents of the fit that one must stand in: those with the greatest
+#: gain, which ends near zero long before the last of them, so more do not change its accuracy.
+FEATURES, LEAST_DOCS = 3000, 3
 #: Bytes of a word's beginning that are features besides the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Characters of the trigram model: a-z, other letters, word border.
@@ -110,9 +111,11 @@ class Restorer:
             leave = RIM if rim and c in "!|+" else LEAVE
             if c.isalpha():
                 out.append([(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, TWICE)])
-            elif c in STANDS_FOR and n < 3 and not (rim and c in "(<*"):
-                for _ in range(n):
-                    out.append([(x, READ) for x in STANDS_FOR[c]] + [("", leave)])
+            elif c in STANDS_FOR and not (rim and c in "(<*"):
+                if n < 3 or c == "*":  # masks stand for a letter each, other marks may be drawn out
+                    out += [[(x, READ) for x in STANDS_FOR[c]] + [("", leave)]] * n
+                else:
+                    out.append([(x, READ) for x in STANDS_FOR[c]] + [(x * 2, READ + TWICE) for x in STANDS_FOR[c]] + [("", leave)])
         return out
 
     def _restore(self, stretch: str) -> str:
@@ -304,12 +307,12 @@ def learn(docs: DataFrame, labels: DataFrame, fix: Restorer, fit_rows: int = FIT
 
     good = F.col("n") - F.col("bad")
     gain = part(F.col("bad"), F.col("n") * (bad / total)) + part(good, F.col("n") * (1 - bad / total))
-    best = counts.where("n >= 3").withColumn("gain", gain).orderBy(F.desc("gain"), "h").limit(FEATURES).select("h").toArrow()
+    best = counts.where(F.col("n") >= LEAST_DOCS).withColumn("gain", gain).orderBy(F.desc("gain"), "h").limit(FEATURES).select("h").toArrow()
     model = Model(best.column("h").to_numpy().view(_U))
     found = rows.mapInArrow(trimmed(_design(shared, spark.sparkContext.broadcast(model))), "toxic boolean, found array<int>, value array<double>").toArrow()
     lists = found.column("found").combine_chunks()
     y = found.column("toxic").to_numpy().astype(float)
-    size = np.array([len(x) for x in lists.to_pylist()], int)
+    size = np.diff(lists.offsets.to_numpy())
     col = lists.flatten().to_numpy(zero_copy_only=False).astype(int)
     value = found.column("value").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     bias, weights = _fit(y, np.repeat(np.arange(len(y)), size), col, value, len(model.hashes))
