@@ -1,7 +1,7 @@
 """Language identification with spans of mixed-language text.
 
 Every word gets a score per language from the byte trigrams in it, with counts learned from
-labelled documents. The script of a word (by ranges of lead bytes) narrows the languages to those
+labelled documents. The script of a word (by ranges of code points) narrows the languages to those
 that use it in the labelled texts. Viterbi over the words, with a penalty for each switch, labels
 the spans; the document's language is the one with most bytes of words on the best path. A text of
 which no stretch of words gains more than the penalty in other languages keeps one label without
@@ -38,15 +38,31 @@ PENALTY = 8.0
 SCRIPT_SHARE = 0.005
 UND = "und"
 
-# Scripts as ranges of UTF-8 lead bytes (first, last, number).
-SCRIPTS = (
-    (0x41, 0x7A, 0), (0xC2, 0xCC, 0), (0xCD, 0xCF, 1), (0xD0, 0xD4, 2), (0xD5, 0xD5, 3), (0xD6, 0xD7, 4), (0xD8, 0xDF, 5),
-    (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF4, 11),
-)
-N_SCRIPTS = 12
-_SCRIPT = np.full(256, -1, np.int8)
-for _a, _b, _n in SCRIPTS:
-    _SCRIPT[_a : _b + 1] = _n
+# Scripts as ranges of code points (first, last).
+SCRIPTS = {
+    "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)), "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "cyrillic": ((0x400, 0x52F),), "armenian": ((0x530, 0x58F),),
+    "hebrew": ((0x590, 0x5FF),), "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)), "devanagari": ((0x900, 0x97F),), "bengali": ((0x980, 0x9FF),),
+    "gurmukhi": ((0xA00, 0xA7F),), "gujarati": ((0xA80, 0xAFF),), "odia": ((0xB00, 0xB7F),), "tamil": ((0xB80, 0xBFF),), "telugu": ((0xC00, 0xC7F),), "kannada": ((0xC80, 0xCFF),),
+    "malayalam": ((0xD00, 0xD7F),), "sinhala": ((0xD80, 0xDFF),), "thai": ((0xE00, 0xE7F),), "lao": ((0xE80, 0xEFF),), "tibetan": ((0xF00, 0xFFF),), "myanmar": ((0x1000, 0x109F),),
+    "georgian": ((0x10A0, 0x10FF),), "ethiopic": ((0x1200, 0x139F),), "khmer": ((0x1780, 0x17FF),), "mongolian": ((0x1800, 0x18AF),), "kana": ((0x3040, 0x30FF),),
+    "han": ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)), "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+}
+N_SCRIPTS = len(SCRIPTS)
+
+
+def _script_table() -> np.ndarray:
+    """Number of the script by the first two bytes of a character in UTF-8, [lead byte, next byte's six
+    bits]; -1 for none. Of three bytes these are the 64 code points that share them, of four 4096."""
+    lead, more = np.arange(256)[:, None], np.arange(64)[None, :]
+    point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, (lead & 31) << 6 | more, np.where(lead < 0xF0, (lead & 15) << 12 | more << 6 | 32, (lead & 7) << 18 | more << 12 | 32)))
+    out = np.full(point.shape, -1, np.int8)
+    for k, ranges in enumerate(SCRIPTS.values()):
+        for a, b in ranges:
+            out[(point >= a) & (point <= b)] = k
+    return out
+
+
+_SCRIPT = _script_table()
 #: ASCII letters to lower case, bytes from 128 on kept, all else a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -69,8 +85,8 @@ class Words:
         self.begin = np.cumsum([len(r) + 1 for r in raw]) - np.array([len(r) for r in raw]) if raw else np.zeros(0, int)
         borders = np.searchsorted(self.start, np.append(self.begin, len(data)))
         self.counts = np.diff(borders)
-        lead = np.where(data[at] >= 192, data[at], np.where(data[at] < 128, 0x61, 0))
-        script = _SCRIPT[lead].astype(np.int8)
+        lead = np.where(data[at] >= 192, data[at], np.where(data[at] < 128, 0x61, 0))  # 0: within a character
+        script = _SCRIPT[lead, data[at + 1] & 63]
         self.script = np.maximum.reduceat(script, self.first) if len(at) else np.zeros(0, np.int8)
         self.data = data
 
@@ -257,8 +273,9 @@ def fold(doc_id: Column, n: int) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = learn(docs.where(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
-    out = predict(docs.select("doc_id", "text"), model, spans=False)
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    out = predict(docs.select("doc_id", "text"), model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", spans.alias("spans"))
 
 
 def identified(docs: DataFrame, least: float = 0.2, fit_rows: int = FIT_ROWS) -> DataFrame:
