@@ -1,6 +1,8 @@
 """Operators against brute force on small fixtures, with nulls, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -126,6 +128,34 @@ def test_decontamination(spark, docs, rows, block):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_repeated_words_and_longest_matches():
+    """Against brute force on words that repeat; and long runs of one word in linear time."""
+    rnd = random.Random(1)
+    for _ in range(200):
+        v, win = [f"w{i}" for i in range(rnd.choice([1, 2, 3, 30]))], rnd.choice([2, 3, 5, 10])
+        items = [(i, " ".join(rnd.choice(v) for _ in range(rnd.randrange(25)))) for i in range(rnd.randrange(6))]
+        texts = [" ".join(rnd.choice(v + ["zz"] * rnd.randrange(3)) for _ in range(rnd.randrange(60))) for _ in range(rnd.randrange(1, 6))]
+        texts += [f"zz {t} zz {t}" for _, t in items[:1]]
+        block = decontaminate.Block(items, win)
+        n, listed, found = decontaminate._shard(texts, block)
+        for i, text in enumerate(texts):
+            w, longest = fold(text), {}
+            for _, t in items:
+                ws = fold(t)
+                for q, p in itertools.product(range(len(w)), range(len(ws) - min(win, len(ws)) + 1 if ws else 0)):
+                    k = next((k for k in range(min(len(w) - q, len(ws) - p)) if w[q + k] != ws[p + k]), min(len(w) - q, len(ws) - p))
+                    if k >= min(win, len(ws)):
+                        longest[q] = max(longest.get(q, 0), k)
+            got = {p: k for _, _, p, k in found.get(i, ())}
+            assert got == {q: k for q, k in longest.items() if longest.get(q - 1, 0) <= k}
+            assert all(w[p : p + k] == fold(items[[x for x, _ in items].index(block.ids[item])][1])[q : q + k] for item, q, p, k in found.get(i, ()))
+            covered = {x for p, k in got.items() for x in range(p, p + k)}
+            assert (n[i], len(covered), sorted(str(block.ids[x]) for x in listed.get(i, ()))) == spans_of(text, items, win)
+    texts = ["ha " * 20_000, "ho " + "ha " * 30_000]
+    _, listed, found = decontaminate._shard(texts, decontaminate.Block([(0, "ha " * 2000)], 10))
+    assert len(found[0]) == 18_001 and len(found[1]) == 28_001 and listed == {0: [0], 1: [0]}
+
+
 def test_longest_match(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "a b " + text + " c " + text)], "doc_id long, text string")
@@ -402,6 +432,66 @@ def test_paths_are_best():
         assert abs(value(langid.best_path(s, counts)) - value(langid.viterbi(s, counts))) < 1e-2
 
 
+def test_label_sequences_by_enumeration():
+    """The path of most score among all label sequences; ties have equal value."""
+    rnd = np.random.default_rng(5)
+    for _ in range(150):
+        counts = rnd.integers(0, 7, 3)
+        s = rnd.normal(0, 5, (counts.sum(), 3)).astype("f4")
+        label, k = langid.best_path(s, counts), 0
+        for n in counts.tolist():
+            value = lambda path, k=k: sum(float(s[k + i, x]) for i, x in enumerate(path)) - langid.PENALTY * sum(x != y for x, y in zip(path, path[1:]))
+            best = max(value(path) for path in itertools.product(range(3), repeat=n))
+            assert abs(value(label[k : k + n].tolist()) - best) < 1e-3
+            k += n
+
+
+def test_scripts_of_words():
+    cases = {"hello": "latin", "ñandú": "latin", "жук": "cyrillic", "λόγος": "greek", "नमस्ते": "devanagari", "สวัสดี": "thai", "ສະບາຍ": "lao", "தமிழ்": "tamil", "漢字": "han", "かな": "kana", "한글": "hangul", "שלום": "hebrew", "سلام": "arabic"}
+    names = list(langid.SCRIPTS)
+    assert [names[k] for k in langid.Words([" ".join(cases)]).script] == list(cases.values())
+
+
+def test_lattices_by_enumeration():
+    """The cheapest reading among all paths of a lattice, under any trigram costs."""
+    rnd = np.random.default_rng(3)
+    fix = toxicity.Restorer(rnd.integers(0, 50, toxicity.SYMBOLS**3).astype(float))
+
+    def cost(text, extra):
+        x = y = toxicity._BORDER
+        for c in text:
+            k = ord(c) - 97 if "a" <= c <= "z" else toxicity._OTHER
+            extra += fix.cost[x][y][k]
+            x, y = y, k
+        return extra + fix.cost[x][y][toxicity._BORDER]
+
+    for stretch in ["w0rthle5s", "m.o.r.o.n", "iiidiot", "1d10t", "a$$h*le", "b000m", "h3llo!!!", "x***y", "|1|1|", "b@$t@rd", "é3é", "(ra(k", "no000ob"]:
+        ways = [("".join(t for t, _ in way), sum(e for _, e in way)) for way in itertools.product(*fix.lattice(stretch))]
+        best = min(cost(t, e) for t, e in ways)
+        got = fix.restore(stretch)
+        assert any(t == got and abs(cost(t, e) - best) < 1e-9 for t, e in ways), stretch
+    assert len(fix.lattice("b000m")) == 3 and len(fix.lattice("x***y")) == 5  # no mark is left out unread
+
+
+def test_rows_dealt_for_one_large_group(spark, monkeypatch):
+    """One bucket of near-duplicates around a centre, and one cell of vectors: what is dealt."""
+    n, few = 4000, 10
+    rows = [(7, bytes([i >> 8, i & 255]), 5, b"main" if i >= few else bytes([i])) for i in range(n)]
+    placed = spark.createDataFrame([(b, bytearray(k), s, bytearray(c)) for b, k, s, c in rows], "band long, key binary, size long, comp binary")
+    members = placed.join(minhash.outsiders(placed), "band")
+    dealt = minhash.blocks(members)
+    right = -(-n // minhash.BLOCK)
+    assert dealt.count() == n + few * right  # not the square of the bucket
+    pairs = Counter()
+    for r in dealt.groupBy("band", "lo", "hi").agg(F.count_if("given").alias("a"), F.count_if(~F.col("given")).alias("b")).collect():
+        pairs["dealt"] += r.a * r.b
+    assert pairs["dealt"] == few * n
+    cell = spark.range(n).select(F.lit(1).cast("long").alias("cell"), F.col("id").cast("string").alias("key"), *[F.lit(0).alias(c) for c in ("embedding", "label", "n", "cells")])
+    assert embeddings.blocks(cell, spark.createDataFrame([(1, n)], "cell long, n_in long")).count() == n * -(-n // embeddings.BLOCK)
+    tail = sum(math.comb(160, k) * 0.8**k * 0.2 ** (160 - k) for k in range(int(160 * minhash.SIEVE)))
+    assert tail < 1e-8  # a pair of similarity 0.8 that the signatures sieve out
+
+
 def test_languages(spark):
     rnd = random.Random(3)
     words = {"en": "the of and ing tion with hat".split(), "de": "der und sch ein lich keit ung".split(), "ru": "что это как его она они был".split()}
