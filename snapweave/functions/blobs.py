@@ -14,10 +14,16 @@ def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def trim_space(text: Column) -> Column:
+    """``text`` without white space of any kind (Unicode's) at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def parse_blob_id(text: Column) -> Column:
-    """struct<id, error>: a trimmed digest of 64 hex digits in lower case, or why it is none."""
-    t = F.trim(text)
-    error = F.when(F.length(t) != 64, F.concat(F.lit("invalid sha256 length: "), F.length(t).cast("string"))).when(
+    """struct<id, error>: a trimmed digest of 64 hex digits in lower case, or why it is none. Lengths
+    are in bytes."""
+    t = trim_space(text)
+    error = F.when(F.octet_length(t) != 64, F.concat(F.lit("invalid sha256 length: "), F.octet_length(t).cast("string"))).when(
         ~t.rlike("^[0-9a-fA-F]*$"), F.lit("invalid sha256 characters")
     )
     error = F.when(text.isNull(), F.lit("invalid sha256 length: 0")).otherwise(error)
@@ -26,15 +32,29 @@ def parse_blob_id(text: Column) -> Column:
 
 def parse_request(line: Column) -> Column:
     """struct<command, arg>: a trimmed request line at its first space; null for a blank one."""
-    t = F.trim(line)
+    t = trim_space(line)
     cut = F.split(t, " ", 2)
     return F.when(t != "", F.struct(F.upper(cut[0]).alias("command"), F.get(cut, F.lit(1)).alias("arg")))
 
 
+def parse_reply(reply: Column) -> Column:
+    """struct<size, error> of a reply to a request: the size after OK, or what went wrong."""
+    t = trim_space(reply)
+    size = trim_space(F.substr(t, F.lit(3)))
+    whole = F.when(size.rlike("^[+-]?[0-9]+$"), size.try_cast("long"))
+    error = (
+        F.when(t.startswith("ERR"), F.concat(F.lit("server error: "), F.regexp_replace(t, "^ERR ", "")))
+        .when(~t.startswith("OK"), F.concat(F.lit("unexpected server response: "), t))
+        .when(whole.isNull(), F.concat(F.lit("invalid size: "), size))
+    )
+    error = F.when(reply.isNull(), F.lit("unexpected server response: ")).otherwise(error)
+    return F.struct(F.when(error.isNull(), whole).alias("size"), error.alias("error"))
+
+
 def parse_endpoint(endpoint: Column) -> Column:
-    """struct<scheme, address> of scheme://address with scheme unix or tcp; null else."""
+    """struct<scheme, address> of scheme://address with scheme unix or tcp, the address may be empty; null else."""
     cut = F.split(endpoint, "://", 2)
-    return F.when((F.size(cut) == 2) & cut[0].isin("unix", "tcp") & (F.get(cut, F.lit(1)) != ""), F.struct(cut[0].alias("scheme"), cut[1].alias("address")))
+    return F.when((F.size(cut) == 2) & cut[0].isin("unix", "tcp"), F.struct(cut[0].alias("scheme"), cut[1].alias("address")))
 
 
 def chunk_offsets(size: Column, chunk: int = CHUNK) -> Column:

@@ -26,6 +26,11 @@ def default_type(mode: Column) -> Column:
     return F.when(file_type(mode) == 0, mode.bitwiseOR(S_IFREG)).otherwise(mode)
 
 
+def unix_seconds(mod_time_ns: Column) -> Column:
+    """Whole seconds of a modification time in nanoseconds."""
+    return ((mod_time_ns - F.pmod(mod_time_ns, F.lit(1_000_000_000).cast("long"))) / 1_000_000_000).cast("long")
+
+
 def dirent_type(mode: Column) -> Column:
     kind = file_type(mode)
     return F.when(kind == S_IFDIR, FT_DIR).when(kind == S_IFLNK, FT_SYMLINK).otherwise(FT_REG)

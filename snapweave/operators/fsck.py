@@ -1,7 +1,7 @@
 """Checks of filesystem images: each is a predicate that gives rows of violations.
 
 All violations of an image are found, not the first alone; ``first_error`` has the earliest. Walks
-from the root go level by level over edges, each node once, with every level a written table."""
+from the root go level by level over edges, each node once, a few levels to a written table."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.modes import S_IFDIR, S_IFLNK, S_IFREG, file_type
-from ..plans.durable import materialize
+from ..plans.durable import discard, materialize
 from ..schemas import VIOLATIONS
 from .image import BLOCK, BLOCK_BITS, DIRENT, MAGIC
 
 #: Depth that a node may have, the root's being 1; inodes beyond the declared ones that may be met.
 MAX_DEPTH, SPARE_INODES = 100, 100
+#: Levels of a walk that are taken in one written table.
+LEVELS = 5
 
 
 def _faults(rows: DataFrame, code: str, nid: Column, *checks: tuple[Column, str]) -> DataFrame:
@@ -78,29 +80,65 @@ def dirent_faults(raw: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(image, nid, depth) of the nodes that ``edges(image, parent, child)`` lead to from
-    ``roots(image, nid)``, least depth first; nodes of depth max_depth + 1 are not walked on from."""
-    edges = materialize(edges.select("image", "parent", "child").distinct(), "edges")
-    seen = frontier = materialize(roots.select("image", "nid", F.lit(1).alias("depth")), "level")
-    for depth in range(2, max_depth + 2):
-        step = edges.join(frontier.select("image", F.col("nid").alias("parent")), ["image", "parent"]).select("image", F.col("child").alias("nid")).distinct()
-        frontier = materialize(step.join(seen.select("image", "nid"), ["image", "nid"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+    ``roots(image, nid)``, least depth first; nodes of depth max_depth + 1 are not walked on from.
+
+    Where edges have a ``place`` among those of their parent, the result has ``way``: the places on the
+    way to a node, whose order is that of a walk depth first. LEVELS levels make one written table."""
+    placed = "place" in edges.columns
+    own = F.min("place").alias("place") if placed else F.lit(0).alias("place")
+    edges = materialize(edges.groupBy("image", "parent", "child").agg(own), "edges")
+    at = F.array().cast("array<bigint>")
+    frontier = materialize(roots.select("image", "nid", F.lit(1).alias("depth"), at.alias("way")), "level")
+    seen, depth = frontier, 1
+    while depth <= max_depth:
+        steps, level = [], frontier
+        for _ in range(min(LEVELS, max_depth + 1 - depth)):
+            depth += 1
+            step = edges.join(level.select("image", F.col("nid").alias("parent"), "way"), ["image", "parent"])
+            way = F.min(F.concat("way", F.array(F.col("place").cast("long")))) if placed else F.first("way")
+            level = step.groupBy("image", F.col("child").alias("nid")).agg(way.alias("way")).withColumn("depth", F.lit(depth))
+            steps.append(level)
+        new = reduce(DataFrame.unionByName, steps).groupBy("image", "nid").agg(F.min(F.struct("depth", "way")).alias("s")).select("image", "nid", "s.*")
+        new = materialize(new.join(seen.select("image", "nid"), ["image", "nid"], "left_anti"), "level")
+        frontier = new.where(F.col("depth") == depth)
+        seen = seen.unionByName(new)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-        if depth % 10 == 0:
-            seen = materialize(seen, "seen")
-    return seen
+    return seen if placed else seen.drop("way")
+
+
+def _peeled(left: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges whose end ``a`` is the end ``b`` of another edge, without those on chains that such an
+    end leads out of: nodes that are b of one edge alone point to its a; the pointers double."""
+    ends = left.groupBy("image", F.col(b).alias("x")).agg(F.count("*").alias("n"), F.min(a).alias("to"))
+    ends = materialize(ends, "ends")
+    has = ends.select("image", F.col("x").alias("to"))
+    pointer, moved = materialize(ends.where("n = 1").select("image", "x", "to"), "pointer"), -1
+    while True:
+        onward = pointer.select("image", F.col("x").alias("to"), F.col("to").alias("far"))
+        new = pointer.join(onward, ["image", "to"], "left").select("image", "x", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("on"))
+        new = materialize(new, "pointer")
+        now = new.where("on").count()
+        discard(pointer)
+        pointer = new.drop("on")
+        pointer._written = new.__dict__.pop("_written", None)
+        if now == moved or now == 0:  # what still moves goes round, or hangs from what does
+            break
+        moved = now
+    gone = pointer.join(has, ["image", "to"], "left_anti").select("image", F.col("x").alias(a))
+    out = left.join(has.withColumnRenamed("to", a), ["image", a], "left_semi").join(gone, ["image", a], "left_anti")
+    out = materialize(out.select("image", "parent", "child"), "edges")
+    discard(ends, pointer)
+    return out
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(image, nid) of nodes on cycles or between two of them: what is left when nodes without an
-    edge in or without one out are taken away until none is."""
+    edge in or without one out are taken away until none is; whole chains go in one turn."""
     left = materialize(edges.select("image", "parent", "child").distinct(), "edges")
     count = left.count()
     while count:
-        into = left.select("image", F.col("child").alias("parent")).distinct()
-        out = left.select("image", F.col("parent").alias("child")).distinct()
-        left = materialize(left.join(into, ["image", "parent"], "left_semi").join(out, ["image", "child"], "left_semi"), "edges")
+        left = _peeled(_peeled(left, "parent", "child"), "child", "parent")
         now = left.count()
         if now == count:
             break
@@ -128,29 +166,69 @@ def fsck(images: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     heads = materialize(source.superblocks(images), "superblocks")
     bad = check_superblocks(heads)
     good = heads.join(bad.select("image").distinct(), "image", "left_anti")
-    sound = images.join(good.select("image"), "image", "left_semi")
-    nodes = materialize(source.inodes(sound), "inodes")
-    # Directories whose data is out of bounds cannot be read on.
-    sizes = good.select("image", "blocks")
-    damaged = materialize(data_faults(nodes.join(sizes, "image"), F.col("blocks")), "damaged")
-    readable = nodes.join(damaged.select("image", "nid"), ["image", "nid"], "left_anti")
-    raw = materialize(source.raw_dirents(sound, readable.where(file_type(F.col("mode")) == S_IFDIR)), "dirents")
-    plain = raw.where("idx IS NOT NULL").where(~F.hex("name").isin("2E", "2E2E"))
-    edges = plain.select("image", F.col("dir_nid").alias("parent"), F.col("nid").alias("child"))
-    reached = materialize(reach(edges, good.select("image", F.col("root_nid").alias("nid")), max_depth), "reached")
-    lost = reached.join(nodes, ["image", "nid"], "left_anti").select("image", F.lit("InvalidInode").alias("code"), "nid", F.lit("truncated inode").alias("message"))
-    met = lambda d, c: d.join(reached.select("image", F.col("nid").alias(c)), ["image", c], "left_semi")
+    nodes, damaged, raw, edges, met = _walk(images.join(good.select("image"), "image", "left_semi"), good, max_depth)
+    lost = met.join(nodes, ["image", "nid"], "left_anti").select("image", F.lit("InvalidInode").alias("code"), "nid", F.lit("truncated inode").alias("message"))
+    of = lambda d, c: d.join(met.select("image", F.col("nid").alias(c)), ["image", c], "left_semi")
     parts = [
-        bad, lost, met(damaged, "nid"), dirent_faults(met(raw, "dir_nid")), name_faults(met(raw, "dir_nid").where("idx IS NOT NULL")),
-        walk_faults(edges, reached, good.select("image", "inodes"), max_depth),
+        bad, lost, of(damaged, "nid"), dirent_faults(of(raw, "dir_nid")), name_faults(of(raw, "dir_nid").where("idx IS NOT NULL")),
+        walk_faults(edges, met, good.select("image", "inodes"), max_depth),
     ]
     return reduce(DataFrame.unionByName, [p.select(*VIOLATIONS.names) for p in parts]).distinct()
 
 
-def first_error(violations: DataFrame) -> DataFrame:
-    """The violation of the least node of each image, those of the whole image first."""
-    order = F.struct(F.coalesce("nid", F.lit(-1)).alias("n"), "code", "message")
-    return violations.groupBy("image").agg(F.min(order).alias("e")).select("image", F.col("e.code").alias("code"), F.nullif(F.col("e.n"), F.lit(-1).cast("long")).alias("nid"), F.col("e.message").alias("message"))
+def _walk(images: DataFrame, heads: DataFrame, max_depth: int) -> tuple[DataFrame, ...]:
+    """Of images with sound superblocks: inodes, damaged ones, directory entries, edges, and what the
+    root reaches. The declared slots are read first; slots beyond them that entries lead to are read
+    as they are met, until none is new."""
+    from ..sources import image as source
+
+    sizes = heads.select("image", "blocks")
+    roots = heads.select("image", F.col("root_nid").alias("nid"))
+    tables: list[list[DataFrame]] = [[], [], []]
+    fresh = materialize(source.inodes(images), "inodes")
+    while True:
+        # Directories whose data is out of bounds cannot be read on.
+        damaged = materialize(data_faults(fresh.join(sizes, "image"), F.col("blocks")), "damaged")
+        readable = fresh.join(damaged.select("image", "nid"), ["image", "nid"], "left_anti")
+        raw = materialize(source.raw_dirents(images, readable.where(file_type(F.col("mode")) == S_IFDIR)), "dirents")
+        for kept, table in zip(tables, (fresh, damaged, raw), strict=True):
+            kept.append(table)
+        nodes, damaged, raw = (reduce(DataFrame.unionByName, t) for t in tables)
+        plain = raw.where("idx IS NOT NULL").where(~F.hex("name").isin("2E", "2E2E"))
+        edges = plain.select("image", F.col("dir_nid").alias("parent"), F.col("nid").alias("child"), (F.col("block").cast("long") * BLOCK + F.col("idx")).alias("place"))
+        met = materialize(reach(edges, roots, max_depth), "reached")
+        fresh = materialize(source.inodes_at(images, met.join(nodes, ["image", "nid"], "left_anti").select("image", "nid")), "inodes")
+        if fresh.isEmpty():
+            return nodes, damaged, raw, edges.drop("place"), met
+        discard(met)
+
+
+def reached(images: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Inodes that the roots of images with sound superblocks lead to, wherever their slots are."""
+    from ..sources import image as source
+
+    heads = materialize(source.superblocks(images), "superblocks")
+    good = heads.join(check_superblocks(heads).select("image").distinct(), "image", "left_anti")
+    nodes, *_, met = _walk(images.join(good.select("image"), "image", "left_semi"), good, max_depth)
+    return materialize(nodes.join(met.select("image", "nid"), ["image", "nid"], "left_semi"), "reached")
+
+
+def walk_order(images: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(image, nid, way) of what the roots lead to; the order of ways is that of a walk depth first."""
+    from ..sources import image as source
+
+    heads = materialize(source.superblocks(images), "superblocks")
+    good = heads.join(check_superblocks(heads).select("image").distinct(), "image", "left_anti")
+    return _walk(images.join(good.select("image"), "image", "left_semi"), good, max_depth)[-1].select("image", "nid", "way")
+
+
+def first_error(violations: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """The violation that a walk depth first meets first in each image, those of the whole image before
+    all; ``order(image, nid, way)`` is ``walk_order``, else nodes come by number."""
+    rows = violations if order is None else violations.join(order, ["image", "nid"], "left")
+    way = F.array(F.coalesce("nid", F.lit(-1))) if order is None else F.when(F.col("nid").isNotNull(), F.concat(F.array(F.lit(0).cast("long")), F.coalesce("way", F.array(F.lit(1 << 62).cast("long"))))).otherwise(F.array().cast("array<bigint>"))
+    best = rows.groupBy("image").agg(F.min(F.struct(way.alias("w"), "code", "message", F.coalesce("nid", F.lit(-1).cast("long")).alias("n"))).alias("e"))
+    return best.select("image", F.col("e.code").alias("code"), F.nullif(F.col("e.n"), F.lit(-1).cast("long")).alias("nid"), F.col("e.message").alias("message"))
 
 
 def of_code(violations: DataFrame, code: str) -> DataFrame:

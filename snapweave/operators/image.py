@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import modes
+from ..plans.durable import materialize
 from ..plans.ordered import running
 from .tree import dirents
 
@@ -36,17 +36,19 @@ def totals(tree: DataFrame) -> DataFrame:
 
 def dirent_offsets(entries: DataFrame) -> DataFrame:
     """``entries(image, dir_nid, idx, name)`` with name_len and nameoff in the directory's block."""
-    w = W.partitionBy("image", "dir_nid")
-    so_far = w.orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = entries.withColumn("name_len", F.octet_length("name").cast("long"))
-    return out.withColumn("nameoff", DIRENT * F.count("*").over(w) + F.sum("name_len").over(so_far) - F.col("name_len"))
+    placed = running(out, ("image", "dir_nid"), [F.col("idx")], "__i", "__before", F.col("name_len"))
+    counts = entries.groupBy("image", "dir_nid").agg(F.count("*").alias("__n"))
+    return placed.join(counts, ["image", "dir_nid"]).withColumn("nameoff", DIRENT * F.col("__n") + F.col("__before")).select(*out.columns, "nameoff")
 
 
 def name_lengths(offsets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Lengths of names as a reader finds them: to the next offset, the last one's to the block's
     end; monotonic tells whether the next offset does not go back."""
-    after = F.lead("nameoff").over(W.partitionBy("image", "dir_nid").orderBy("idx"))
-    return offsets.withColumns({"room": F.coalesce(after, F.lit(block)) - F.col("nameoff"), "monotonic": F.coalesce(after >= F.col("nameoff"), F.lit(True))})
+    key = ["image", "dir_nid", "idx"]
+    following = offsets.select("image", "dir_nid", (F.col("idx") - 1).alias("idx"), F.col("nameoff").alias("__after"))
+    after = F.col("__after")
+    return offsets.join(following, key, "left").withColumns({"room": F.coalesce(after, F.lit(block)) - F.col("nameoff"), "monotonic": F.coalesce(after >= F.col("nameoff"), F.lit(True))}).drop("__after")
 
 
 def overflowing_dirs(entries: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -63,7 +65,8 @@ def build(tree: DataFrame, contents: DataFrame) -> DataFrame:
     """(image, content): each image as bytes. ``contents(image, nid, content)`` has the files' data.
 
     An image is one value, so this is for images of bounded size; directories that overflow their
-    block and contents of another size than declared raise an error."""
+    block, contents of another size than declared and owners beyond 16 bits raise an error. Inodes are
+    compact ones, which have no modification time: mtime stays a column of the tree."""
     le = modes.write_le
     placed = layout(tree)
     offsets = dirent_offsets(dirents(tree))
@@ -76,9 +79,10 @@ def build(tree: DataFrame, contents: DataFrame) -> DataFrame:
     with_data = placed.join(data, ["image", "nid"], "left").withColumn("raw", F.coalesce("raw", F.unhex(F.lit(""))))
     sized = F.when(F.col("is_dir") | (F.length("raw") == F.col("data_len")), F.col("raw")).otherwise(F.raise_error(F.lit("content is not of the declared size")).cast("binary"))
     zeros = lambda n: F.unhex(F.lit("00" * n))
+    owner = lambda c: F.col(c) if c in tree.columns else F.lit(0)
     inode = F.concat(
         zeros(4), le(F.col("mode"), 2), le(F.when(F.col("is_dir"), 2).otherwise(1), 2), le(F.col("data_len"), 4), zeros(4),
-        le(F.floor(F.col("data_offset") / BLOCK), 4), le(F.col("nid"), 4), zeros(8),
+        le(F.floor(F.col("data_offset") / BLOCK), 4), le(F.col("nid"), 4), le(owner("uid"), 2), le(owner("gid"), 2), zeros(4),
     )
     each = with_data.select("image", F.struct("nid", F.hex(inode).alias("inode")).alias("i"), F.struct("data_offset", "n_blocks", sized.alias("raw")).alias("d"))
     both = each.groupBy("image").agg(F.array_sort(F.collect_list("i")).alias("i"), F.array_sort(F.collect_list("d")).alias("d"))
@@ -92,3 +96,24 @@ def build(tree: DataFrame, contents: DataFrame) -> DataFrame:
     size = F.ceil(F.size("i") * SLOT / BLOCK) * BLOCK
     whole = F.concat(_padded(first, F.lit(BLOCK)), _padded(inodes, size), F.array_join(F.transform("d", lambda x: _padded(F.hex(x["raw"]), x["n_blocks"] * BLOCK)), ""))
     return both.select("image", F.unhex(whole).alias("content"))
+
+
+def compare(tree: DataFrame, images: DataFrame, contents: DataFrame) -> DataFrame:
+    """(image, path, problem) of every path in which images, read back, differ from a tree with
+    ``contents(image, nid, content)``: missing, unexpected, other mode, other size or other content."""
+    from ..sources import image as source
+    from .fsck import reached
+
+    have = reached(images)
+    paths = materialize(source.paths(images, have), "paths")
+    digest = lambda d: d.select("image", "nid", F.sha2("content", 256).alias("sha256"))
+    files = have.where(modes.file_type(F.col("mode")) != modes.S_IFDIR)
+    got = paths.join(have.select("image", "nid", F.col("mode").alias("mode_b"), F.col("size").alias("size_b")), ["image", "nid"])
+    got = got.join(digest(source.file_contents(images, files)).withColumnRenamed("sha256", "sha_b"), ["image", "nid"], "left")
+    want = tree.join(digest(contents), ["image", "nid"], "left").select("image", "path", "is_dir", "mode", "size", F.coalesce("sha256", F.when(~F.col("is_dir"), F.sha2(F.lit("").cast("binary"), 256))).alias("sha256"))
+    both = want.join(got.drop("nid"), ["image", "path"], "full")
+    problem = (
+        F.when(F.col("mode_b").isNull(), "missing").when(F.col("mode").isNull(), "unexpected").when(F.col("mode") != F.col("mode_b"), "other mode")
+        .when(~F.col("is_dir") & (F.col("size") != F.col("size_b")), "other size").when(~F.col("sha256").eqNullSafe(F.col("sha_b")), "other content")
+    )
+    return both.withColumn("problem", problem).where("problem IS NOT NULL").select("image", "path", "problem")

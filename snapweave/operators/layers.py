@@ -38,9 +38,10 @@ def unnest(snapshots: DataFrame) -> DataFrame:
 def conflicts(local: DataFrame, server: DataFrame) -> DataFrame:
     """Volumes whose local layer list differs from the server's, with the first place where it does.
 
-    Volumes that the server does not have are no conflict."""
-    a = local.select("volume_id", F.col("layers").alias("local_layers"))
-    b = server.select("volume_id", F.col("layers").alias("server_layers"))
+    On either side a snapshot without layers counts as one of its image (image_sha256, if there is such
+    a column). Volumes that the server does not have are no conflict."""
+    own = lambda d, name: d.select("volume_id", layers_or_image(F.col("layers"), F.col("image_sha256") if "image_sha256" in d.columns else F.lit(None).cast("string")).alias(name))
+    a, b = own(local, "local_layers"), own(server, "server_layers")
     both = a.join(b, "volume_id").where(~F.col("local_layers").eqNullSafe(F.col("server_layers")))
     same = F.zip_with("local_layers", "server_layers", lambda x, y: x.eqNullSafe(y))
     return both.withColumn("first_difference", F.array_position(same, False) - 1)

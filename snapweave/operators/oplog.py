@@ -39,12 +39,16 @@ def final_state(oplog: DataFrame) -> DataFrame:
 
 
 def checkpoints(oplog: DataFrame, every: int = 10) -> DataFrame:
-    """(file_id, step, content) after every so many operations of each file, where it is there.
-
-    A write counts for the checkpoints from its own to the end of its epoch: those steps alone are
-    made, not all pairs of writes and checkpoints."""
-    rows = effective(oplog)
-    marks = rows.where(F.col("seq") % every == 0).where("exists_after").select("file_id", F.col("seq").alias("step"), "epoch")
-    writes = rows.where(F.col("effective") & F.col("op").isin(CREATE, APPEND, OVERWRITE)).select("file_id", "epoch", "seq", "arg")
-    joined = marks.join(writes, ["file_id", "epoch"]).where(F.col("seq") <= F.col("step"))
-    return _content(joined, "file_id", "step")
+    """(file_id, step, content, n_parts) after every so many operations of each file, where it is there.
+
+    The writes of an epoch are gathered once, in order; a checkpoint takes as many of them as there
+    were by then. So rows grow with operations, not with pairs of writes and checkpoints, and what is
+    gathered is no more than the file holds at the end of the epoch."""
+    wrote = F.col("effective") & F.col("op").isin(CREATE, APPEND, OVERWRITE)
+    w = W.partitionBy("file_id", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = effective(oplog).withColumn("n_parts", F.sum(wrote.cast("long")).over(w))
+    marks = rows.where(F.col("seq") % every == 0).where("exists_after").select("file_id", "epoch", F.col("seq").alias("step"), "n_parts")
+    parts = rows.where(wrote).groupBy("file_id", "epoch").agg(F.array_sort(F.collect_list(F.struct("seq", "arg"))).alias("__p"))
+    joined = marks.join(parts, ["file_id", "epoch"])
+    content = F.array_join(F.transform(F.slice("__p", F.lit(1), F.col("n_parts").cast("int")), lambda x: x["arg"]), "")
+    return joined.select("file_id", "step", content.alias("content"), "n_parts")

@@ -18,7 +18,7 @@ MANIFEST = _table(volume_id="string", version="long", path="string", mode="long"
 DELTA = _table(volume_id="string", path="string", kind="string", mode="long", size="long", mod_time_ns="long", sha256="string")
 BLOBS = _table(sha256="string", size="long", content="binary")
 CHUNKS = _table(sha256="string", chunk_idx="int", offset="long", content="binary")
-NODES = _table(image="string", nid="long", parent_nid="long", name="string", path="string", is_dir="boolean", mode="int", size="long")
+NODES = _table(image="string", nid="long", parent_nid="long", name="string", path="string", is_dir="boolean", mode="int", size="long", uid="long", gid="long", mtime="long")
 VIOLATIONS = _table(image="string", code="string", nid="long", message="string")
 ACCESS = _table(ts="timestamp", event_id="long", pid="int", path="string", mask="long")
 OPLOG = _table(file_id="long", ts="timestamp", event_id="long", op="string", arg="string")

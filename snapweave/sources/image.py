@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.modes import S_IFDIR, file_type, read_le
 from ..operators.image import BLOCK, DIRENT, SLOT, SUPER_OFFSET, SUPER_SIZE
+from ..plans.durable import materialize
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -29,6 +30,8 @@ SUPERBLOCK = (
 COMPACT = (("xattr_icount", 2, 2), ("mode", 4, 2), ("nlink", 6, 2), ("size", 8, 4), ("raw_blkaddr", 16, 4), ("ino", 20, 4), ("uid", 24, 2), ("gid", 26, 2))
 EXTENDED = (("xattr_icount", 2, 2), ("mode", 4, 2), ("nlink", 44, 4), ("size", 8, 8), ("raw_blkaddr", 16, 4), ("ino", 20, 4), ("uid", 24, 4), ("gid", 28, 4))
 
+TIMES = (("mtime", 32, 8), ("mtime_nsec", 40, 4))  # of extended inodes only
+
 
 def superblocks(images: DataFrame) -> DataFrame:
     """One row per image: all fields, root_nid, block_size, expected (the checksum it should have)
@@ -44,19 +47,28 @@ def superblocks(images: DataFrame) -> DataFrame:
 
 
 def inodes(images: DataFrame) -> DataFrame:
-    """(image, nid, version, data_layout, mode, size, raw_blkaddr, ...) of all slots that the
-    superblock declares, as far as the image has them; whole tells whether all bytes are there."""
+    """Inodes of all slots that the superblock declares, as far as the image has them. Images may use
+    slots beyond: ``inodes_at`` reads any, ``operators.fsck.reached`` those that the root leads to."""
     head = superblocks(images).select("image", "inodes", "meta_blkaddr", "block_size", "image_bytes")
     start = F.col("meta_blkaddr") * F.col("block_size")
     slots = F.least(F.col("inodes"), F.floor((F.col("image_bytes") - start) / SLOT))
-    where = head.where("inodes > 0 AND image_bytes > meta_blkaddr * block_size").select("image", start.alias("start"), slots.alias("slots"))
-    each = images.join(where, "image").where("slots > 0").select("image", "content", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("nid"))
-    at = (F.col("start") + F.col("nid") * SLOT).cast("int")
-    raw = each.select("image", "nid", at.cast("long").alias("inode_offset"), F.substr("content", at + 1, F.lit(2 * SLOT)).alias("b"))
+    where = head.where("inodes > 0 AND image_bytes > meta_blkaddr * block_size").select("image", slots.alias("slots")).where("slots > 0")
+    return inodes_at(images, where.select("image", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("nid")))
+
+
+def inodes_at(images: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(image, nid, inode_offset, version, data_layout, mode, size, raw_blkaddr, ...) of the slots
+    ``wanted(image, nid)`` that begin inside their image; whole tells whether all their bytes are there."""
+    head = superblocks(images).select("image", (F.col("meta_blkaddr") * F.col("block_size")).alias("start"), "image_bytes")
+    places = wanted.join(head, "image").select("image", "nid", (F.col("start") + F.col("nid") * SLOT).alias("inode_offset"), "image_bytes")
+    places = places.where("nid >= 0 AND inode_offset >= 0 AND inode_offset < image_bytes AND inode_offset < 2147483647").drop("image_bytes")
+    each = places.join(images.select("image", "content"), "image")
+    raw = each.select("image", "nid", "inode_offset", F.substr("content", F.col("inode_offset").cast("int") + 1, F.lit(2 * SLOT)).alias("b"))
     fmt = raw.withColumn("format", read_le(F.col("b"), 0, 2)).withColumns({"version": F.col("format").bitwiseAND(1), "data_layout": F.shiftright("format", 1).bitwiseAND(7)})
     pick = [F.when(F.col("version") == 0, read_le(F.col("b"), c[1], c[2])).otherwise(read_le(F.col("b"), e[1], e[2])).alias(c[0]) for c, e in zip(COMPACT, EXTENDED, strict=True)]
-    whole = F.length("b") >= F.when(F.col("version") == 0, SLOT).otherwise(2 * SLOT)
-    return fmt.select("image", "nid", "inode_offset", "format", "version", "data_layout", *pick, whole.alias("whole"))
+    times = [F.when(F.col("version") == 1, read_le(F.col("b"), at, n)).alias(name) for name, at, n in TIMES]
+    whole = F.coalesce(F.length("b") >= F.when(F.col("version") == 0, SLOT).otherwise(2 * SLOT), F.lit(False))
+    return fmt.select("image", "nid", "inode_offset", "format", "version", "data_layout", *pick, *times, whole.alias("whole"))
 
 
 def inline_offset(version: Column, xattr_icount: Column) -> Column:
@@ -102,6 +114,24 @@ def raw_dirents(images: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return rows.select("image", "dir_nid", "block", "idx", "nid", "nameoff", "file_type", "reserved", "room", name.alias("name"), F.length("b").cast("long").alias("block_bytes"))
 
 
-def dirents(images: DataFrame) -> DataFrame:
-    """(image, dir_nid, nid, name, file_type): entries with names as text, in no order."""
-    return raw_dirents(images).where("idx IS NOT NULL").select("image", "dir_nid", "nid", F.try_validate_utf8(F.col("name").cast("string")).alias("name"), "file_type")
+def dirents(images: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(image, dir_nid, block, idx, nid, name, file_type): entries with names as text; a directory's in
+    the order of block and idx."""
+    return raw_dirents(images, nodes).where("idx IS NOT NULL").select("image", "dir_nid", "block", "idx", "nid", F.try_validate_utf8(F.col("name").cast("string")).alias("name"), "file_type")
+
+
+def paths(images: DataFrame, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+    """(image, nid, path) of ``nodes``, from the root down, one level of all images at a time. A node
+    with several names has the least path of its least depth."""
+    names = dirents(images, nodes).where("name NOT IN ('.', '..')").select("image", F.col("dir_nid").alias("up"), "nid", "name")
+    names = materialize(names, "names")
+    level = materialize(superblocks(images).select("image", F.col("root_nid").alias("nid"), F.lit("").alias("path")), "level")
+    seen = level
+    for _ in range(max_depth):
+        step = names.join(level.select("image", F.col("nid").alias("up"), F.col("path").alias("above")), ["image", "up"])
+        step = step.groupBy("image", "nid").agg(F.min(F.concat("above", F.when(F.col("above") == "", "").otherwise("/"), "name")).alias("path"))
+        level = materialize(step.join(seen.select("image", "nid"), ["image", "nid"], "left_anti"), "level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
