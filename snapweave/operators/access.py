@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the bit of a permission event for an open.
-OPEN_PERM = 0x10000
+# The bit of a permission event for an open; bytes of an event's head.
+OPEN_PERM, EVENT_BYTES = 0x10000, 24
 
 
 def checked(access: DataFrame) -> DataFrame:
-    """``access``; raises on an event that is no permission event for an open."""
+    """``access``; raises on an event that is no permission event for an open, and, where there is a
+    column event_len, on one shorter than an event's head."""
     bad = F.raise_error(F.concat(F.lit("unexpected event mask "), F.col("mask").cast("string"))).cast("long")
+    if "event_len" in access.columns:
+        short = F.raise_error(F.concat(F.lit("event of "), F.col("event_len").cast("string"), F.lit(" bytes"))).cast("long")
+        access = access.withColumn("mask", F.when(F.col("event_len") >= EVENT_BYTES, F.col("mask")).otherwise(short))
     return access.withColumn("mask", F.when(F.col("mask").bitwiseAND(OPEN_PERM) != 0, F.col("mask")).otherwise(bad))
 
 

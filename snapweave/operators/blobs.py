@@ -73,3 +73,32 @@ def answer(requests: DataFrame, cache: DataFrame, origin: DataFrame) -> DataFram
     )
     source = F.when(F.col("__c").isNotNull(), "cache").when(F.col("__o").isNotNull(), "origin")
     return found.withColumns({"reply": reply, "source": source}).select(*requests.columns, "reply", "source")
+
+
+def read(wanted: DataFrame, blobs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``wanted(sha256, ...)`` with chunk_idx, offset and content: the blobs of these digests, in chunks.
+
+    Digests are parsed like those of requests; raises on one that is none, or that no blob has."""
+    parsed = parse_blob_id(F.col("sha256"))
+    bad = lambda text: F.raise_error(text).cast("string")
+    own = F.when(parsed["error"].isNull(), parsed["id"]).otherwise(bad(parsed["error"]))
+    have = blobs.select(F.col("sha256").alias("__id"), F.col("content").cast("binary").alias("content")).dropDuplicates(["__id"])
+    found = wanted.withColumn("__want", own).join(have, F.col("__want") == F.col("__id"), "left")
+    content = F.when(F.col("__id").isNotNull(), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not found: "), F.coalesce("__want", F.lit("?")))).cast("binary"))
+    cut = found.withColumn("content", content).select(*wanted.columns, "content", F.posexplode(chunk_offsets(F.octet_length("content"), chunk)).alias("chunk_idx", "offset"))
+    return cut.withColumn("content", F.substr("content", (F.col("offset") + 1).cast("int"), F.lit(chunk)))
+
+
+def stream_faults(messages: DataFrame) -> DataFrame:
+    """(stream_id, fault) of upload streams ``messages(stream_id, seq, sha256, content)``, where a message
+    has either a digest (the header) or content: a message with both or neither, or content before the
+    first header. A header without content is no fault (an empty blob)."""
+    both = F.col("sha256").isNotNull() == F.col("content").isNotNull()
+    heads = F.min(F.when(F.col("sha256").isNotNull(), F.col("seq")))
+    data = F.min(F.when(F.col("content").isNotNull(), F.col("seq")))
+    sums = messages.groupBy("stream_id").agg(F.count_if(both).alias("n_bad"), heads.alias("head"), data.alias("data"))
+    fault = (
+        F.when(F.col("n_bad") > 0, "message with both or neither of digest and content")
+        .when(F.col("head").isNull() | (F.col("data") < F.col("head")), "content before digest")
+    )
+    return sums.withColumn("fault", fault).where("fault IS NOT NULL").select("stream_id", "fault")

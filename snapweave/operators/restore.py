@@ -35,3 +35,15 @@ def materialized(planned: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def pending_by_volume(planned: DataFrame) -> DataFrame:
     return planned.where(F.col("action") == "lazy").groupBy("volume_id").agg(F.count("*").alias("n_pending"))
+
+
+# Ways to restore a volume.
+FILES, IMAGE, LAYERS = "files", "image", "layers"
+
+
+def mode(layers: Column, image: Column, images: bool = False, stacks: bool = False) -> Column:
+    """How a snapshot is restored: by its layers or as an image where that is asked for (``stacks``,
+    ``images``) and it has some, layers first; file by file else."""
+    some = F.coalesce(F.size(layers) > 0, F.lit(False)) | (F.coalesce(image, F.lit("")) != "")
+    one = F.coalesce(image, F.lit("")) != ""
+    return F.when(F.lit(stacks) & some, LAYERS).when(F.lit(images) & one, IMAGE).otherwise(FILES)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..plans.ordered import running
 from ..schemas import DIR, FILE, OPAQUE, WHITEOUT
 
 
@@ -70,7 +71,45 @@ def diff(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ()) -> DataFrame
     return a.join(b, on, "full").select(*on, status.alias("status"), "old_sha256", "new_sha256")
 
 
+def pinned(manifest: DataFrame, pins: DataFrame) -> DataFrame:
+    """Rows of the versions that ``pins(volume_id, version)`` name, whatever was written since; raises on
+    a version that is not there."""
+    asked = pins.select("volume_id", "version").distinct()
+    found = asked.join(manifest, ["volume_id", "version"], "left")
+    none = F.raise_error(F.concat(F.lit("no such version of "), F.col("volume_id"))).cast("string")
+    return found.withColumn("path", F.when(F.col("path").isNotNull(), F.col("path")).otherwise(none)).select(*manifest.columns)
+
+
+def without_volumes(rows: DataFrame, volumes: DataFrame) -> DataFrame:
+    """``rows(volume_id, ...)`` without those of volumes that are cleaned up, by equality of the id."""
+    return rows.join(volumes.select("volume_id").distinct(), "volume_id", "left_anti")
+
+
+def changed_volumes(delta: DataFrame) -> DataFrame:
+    """(volume_id, n_changes) of volumes whose delta has anything but plain directories."""
+    return delta.where(F.col("kind") != DIR).groupBy("volume_id").agg(F.count("*").alias("n_changes"))
+
+
+def as_lists(manifest: DataFrame, most: int = 10_000) -> DataFrame:
+    """(volume_id, version, part, files): a manifest as lists of its files by path, of at most ``most``
+    each, so that a volume of any size is no single value."""
+    columns = [c for c in manifest.columns if c not in ("volume_id", "version")]
+    placed = running(manifest, ("volume_id", "version"), [F.col("path")], "__i")
+    files = F.array_sort(F.collect_list(F.struct("path", *[c for c in columns if c != "path"])))
+    return placed.groupBy("volume_id", "version", F.floor(F.col("__i") / most).alias("part")).agg(files.alias("files"))
+
+
 def append_version(manifest: DataFrame, path: str, volume_id: str, expected: int) -> None:
-    """Write ``manifest`` as version expected + 1 of a volume; refuses to write over one that exists."""
+    """Write ``manifest`` as version expected + 1 of a volume; refuses one that exists.
+
+    The version is claimed first by creating a file that must not exist, which file systems do
+    atomically, so of several writers one passes. A writer that dies after its claim leaves the number
+    without rows: readers take the greatest version that has some, the next writer goes on from its number."""
+    spark = manifest.sparkSession
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/volume_id={volume_id}/version={expected + 1}")
+    try:
+        claim.getFileSystem(spark._jsc.hadoopConfiguration()).create(claim, False).close()
+    except Exception as error:
+        raise FileExistsError(f"version {expected + 1} of {volume_id} exists or is being written") from error
     target = f"{path}/volume_id={volume_id}/version={expected + 1}"
     manifest.drop("volume_id", "version").write.mode("errorifexists").parquet(target)

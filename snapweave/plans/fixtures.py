@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.blobs import digest
+from ..functions.modes import unix_seconds
 from ..operators.access import OPEN_PERM
 
 #: Fixed start of modification times, in nanoseconds.
@@ -71,6 +72,11 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(F.col("doc_id") % 3 != 0).select("sha256", "size", "content").dropDuplicates(["sha256"])
 
 
+def all_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of all documents."""
+    return documents(spark, sf_dir).select("sha256", "size", "content").dropDuplicates(["sha256"])
+
+
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer i holds documents of doc_id % 3 <= i with i after their text; layer 2 deletes the
     files of doc_id % 10 = 0 that it does not hold, and the directories of dead files."""
@@ -97,9 +103,13 @@ def url_path() -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, path, is_dir, mode, size): an image per source with its documents."""
+    """(image, path, is_dir, mode, size, uid, gid, mtime): an image per source with its documents."""
     rows = documents(spark, sf_dir)
-    return rows.select(F.col("source").alias("image"), F.concat_ws("/", "lang", (F.col("doc_id") % 7).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit(False).alias("is_dir"), "mode", "size")
+    return rows.select(F.col("source").alias("image"), F.concat_ws("/", "lang", (F.col("doc_id") % 7).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit(False).alias("is_dir"), "mode", "size", *owners())
+
+
+def owners() -> list[Column]:
+    return [(F.col("doc_id") % 1000).alias("uid"), (F.col("doc_id") % 77).alias("gid"), unix_seconds(F.col("mod_time_ns")).alias("mtime")]
 
 
 def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +120,11 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event on the path of document event_id * 7 modulo 150, by pids 0 to 7."""
-    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_id") % 8).cast("int").alias("pid"), (F.col("event_id") * 7 % 150).alias("doc_id"))
+    """An event on the path of document event_id * 7 modulo their number, every fifth on that of
+    document 0, by pids 0 to 7."""
+    n = table(spark, sf_dir, "documents").count()
+    doc = F.when(F.col("event_id") % 5 == 0, F.lit(0)).otherwise(F.col("event_id") * 7 % n).cast("long")
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_id") % 8).cast("int").alias("pid"), doc.alias("doc_id"))
     docs = table(spark, sf_dir, "documents").select("doc_id", doc_path().alias("path"))
     return rows.join(docs, "doc_id").select("ts", "event_id", "pid", "path", F.lit(OPEN_PERM).cast("long").alias("mask"))
 

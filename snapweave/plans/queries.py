@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import blobs as bf
 from ..functions import modes, paths
-from ..operators import access, blobs, fsck, image, layers, mounts, oplog, restore, snapshot, tree
+from ..operators import access, blobs, fsck, image, layers, mounts, oplog, publish, restore, snapshot, tree
 from ..sources import image as image_source
+from ..sources import messages
 from . import fixtures as fx
 from .durable import materialize
 from .ordered import running
 
-#: Depth that the walk over the fixture's edges may reach.
-WALK_DEPTH = 8
+#: Depth that walks may reach.
+WALK_DEPTH = fsck.MAX_DEPTH
 #: Blocks of data between the beginnings of two images of documents.
 IMAGE_BLOCKS = 64
 
@@ -52,17 +53,17 @@ _SNAPS = """s AS (
 e AS (SELECT *, CASE WHEN len(layers) > 0 THEN layers WHEN image_sha256 <> '' THEN [image_sha256] ELSE [] END AS own FROM s)"""
 _TREE = """f AS (
   SELECT source AS image, lang || '/' || CAST(doc_id % 7 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, false AS is_dir,
-         33188 AS mode, CAST(strlen(text) AS BIGINT) AS size FROM documents),
+         33188 AS mode, CAST(strlen(text) AS BIGINT) AS size, doc_id % 1000 AS uid, doc_id % 77 AS gid, 1600000000 + doc_id // 1000000 AS mtime FROM documents),
 dirs AS (
   SELECT DISTINCT image, split_part(path, '/', 1) AS path FROM f
   UNION SELECT DISTINCT image, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM f),
 a AS (
-  SELECT * FROM f UNION ALL SELECT image, path, true, 16877, 0 FROM dirs UNION ALL SELECT DISTINCT image, '', true, 16877, 0 FROM f),
+  SELECT * FROM f UNION ALL SELECT image, path, true, 16877, 0, 0, 0, 0 FROM dirs UNION ALL SELECT DISTINCT image, '', true, 16877, 0, 0, 0, 0 FROM f),
 n AS (
-  SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END) - 1 AS BIGINT) AS nid, path, is_dir, mode, size,
+  SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END) - 1 AS BIGINT) AS nid, path, is_dir, mode, size, uid, gid, mtime,
          regexp_replace(path, '/?[^/]*$', '') AS up, regexp_extract(path, '[^/]*$') AS name FROM a),
 t AS (
-  SELECT n.image, n.nid, p.nid AS parent_nid, n.name, n.path, n.is_dir, CAST(n.mode AS INTEGER) AS mode, n.size
+  SELECT n.image, n.nid, p.nid AS parent_nid, n.name, n.path, n.is_dir, CAST(n.mode AS INTEGER) AS mode, n.size, n.uid, n.gid, n.mtime
   FROM n JOIN n p ON n.image = p.image AND n.up = p.path)"""
 _LAYOUT = _TREE + """,
 l AS (
@@ -87,7 +88,7 @@ ef AS (SELECT *, CASE WHEN op = 'create' THEN NOT before ELSE before END AS eff
 ep AS (SELECT *, sum(CASE WHEN eff AND op IN ('create', 'overwrite') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY seq) AS epoch FROM ef)"""
 _ACCESS = f"""{_FILES},
 acc AS (
-  SELECT ts, event_id, CAST(event_id % 8 AS INTEGER) AS pid, f.path, f.size, f.doc_id AS d FROM events e JOIN files f ON f.doc_id = e.event_id * 7 % 150),
+  SELECT ts, event_id, CAST(event_id % 8 AS INTEGER) AS pid, f.path, f.size, f.doc_id AS d FROM events e JOIN files f ON f.doc_id = CASE WHEN e.event_id % 5 = 0 THEN 0 ELSE e.event_id * 7 % (SELECT count(*) FROM documents) END),
 st AS (SELECT DISTINCT sha256 FROM files WHERE doc_id % 3 <> 0),
 pe AS (SELECT path, sha256 IN (SELECT sha256 FROM st) AS ok FROM files WHERE size >= 1000),
 fi AS (SELECT path, min(struct_pack(ts := ts, e := event_id)) AS m FROM acc WHERE pid <> 3 GROUP BY path)"""
@@ -183,40 +184,40 @@ def present_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.present(fx.documents(spark, sf_dir).select("path", "sha256"), fx.blobs(spark, sf_dir))
 
 
-@_query(f"WITH {_FILES} SELECT path, sha256, text AS content FROM files WHERE doc_id % 3 <> 0")
+@_query(f"WITH {_FILES} SELECT path, sha256, text AS content FROM files")
 def strict_restore_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs.with_content(fx.documents(spark, sf_dir).where("doc_id % 3 <> 0").select("path", "sha256"), fx.blobs(spark, sf_dir))
+    return blobs.with_content(fx.documents(spark, sf_dir).select("path", "sha256"), fx.all_blobs(spark, sf_dir))
 
 
-@_query("""WITH b AS (SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE doc_id % 3 <> 0)
+@_query("""WITH b AS (SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents)
 SELECT sha256, CAST(i AS INTEGER) AS chunk_idx, CAST(i * 4096 AS BIGINT) AS "offset", CAST(greatest(0, least(4096, size - i * 4096)) AS BIGINT) AS n_bytes
 FROM (SELECT sha256, size, unnest(range(0, CAST(greatest(1, ceil(size / 4096.0)) AS BIGINT))) AS i FROM b)""")
 def blob_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blobs.chunks(fx.blobs(spark, sf_dir), 4096)
+    rows = blobs.chunks(fx.all_blobs(spark, sf_dir), 4096)
     return rows.select("sha256", "chunk_idx", "offset", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
-@_query("""WITH b AS (SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE doc_id % 3 <> 0)
+@_query("""WITH b AS (SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents)
 SELECT sha256, size, CAST(greatest(1, ceil(size / 4096.0)) AS BIGINT) AS n_chunks, size AS bytes, true AS complete FROM b""")
 def chunk_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fx.blobs(spark, sf_dir)
+    own = fx.all_blobs(spark, sf_dir)
     return blobs.reconcile(blobs.chunks(own, 4096), own)
 
 
 @_query("""WITH r AS (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN sha256(text) WHEN 1 THEN '  ' || upper(sha256(text)) || ' ' WHEN 2 THEN left(sha256(text), 60) ELSE 'g' || substr(sha256(text), 2) END AS raw FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN lower(trim(raw)) END AS id,
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN sha256(text) WHEN 1 THEN '  ' || upper(sha256(text)) || chr(9) || chr(13) || chr(160) WHEN 2 THEN left(sha256(text), 58) || 'é' ELSE 'g' || substr(sha256(text), 2) END AS raw FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN lower(trim(raw, ' ' || chr(9) || chr(13) || chr(160))) END AS id,
        CASE doc_id % 4 WHEN 2 THEN 'invalid sha256 length: 60' WHEN 3 THEN 'invalid sha256 characters' END AS error FROM r""")
 def parse_blob_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, sha = F.col("doc_id") % 4, F.col("sha256")
-    raw = F.when(k == 0, sha).when(k == 1, F.concat(F.lit("  "), F.upper(sha), F.lit(" "))).when(k == 2, F.left(sha, F.lit(60))).otherwise(F.concat(F.lit("g"), F.substr(sha, F.lit(2))))
+    raw = F.when(k == 0, sha).when(k == 1, F.concat(F.lit("  "), F.upper(sha), F.lit("\t\r\u00a0"))).when(k == 2, F.concat(F.left(sha, F.lit(58)), F.lit("é"))).otherwise(F.concat(F.lit("g"), F.substr(sha, F.lit(2))))
     parsed = fx.documents(spark, sf_dir).select("doc_id", bf.parse_blob_id(raw).alias("b"))
     return parsed.select("doc_id", F.col("b.id").alias("id"), F.col("b.error").alias("error"))
 
 
 @_query("""WITH r AS (
-  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'GET ' || sha256(text) WHEN 1 THEN '  get ' || upper(sha256(text)) WHEN 2 THEN 'PUT ' || sha256(text)
-         WHEN 3 THEN 'GET' WHEN 4 THEN '   ' ELSE 'GET nonsense' END AS line, sha256(text) AS sha, CAST(strlen(text) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'GET ' || sha256(text) || chr(13) WHEN 1 THEN '  get ' || chr(9) || upper(sha256(text)) WHEN 2 THEN 'GET' || chr(9) || sha256(text)
+         WHEN 3 THEN 'GET' WHEN 4 THEN ' ' || chr(9) || chr(13) ELSE 'GET nonsense' END AS line, sha256(text) AS sha, CAST(strlen(text) AS BIGINT) AS size FROM documents),
 c AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 3 <> 0),
 o AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 2 = 0)
 SELECT doc_id, line,
@@ -228,8 +229,8 @@ def cas_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.documents(spark, sf_dir)
     k, sha = F.col("doc_id") % 6, F.col("sha256")
     line = (
-        F.when(k == 0, F.concat(F.lit("GET "), sha)).when(k == 1, F.concat(F.lit("  get "), F.upper(sha))).when(k == 2, F.concat(F.lit("PUT "), sha))
-        .when(k == 3, "GET").when(k == 4, "   ").otherwise("GET nonsense")
+        F.when(k == 0, F.concat(F.lit("GET "), sha, F.lit("\r"))).when(k == 1, F.concat(F.lit("  get \t"), F.upper(sha))).when(k == 2, F.concat(F.lit("GET\t"), sha))
+        .when(k == 3, "GET").when(k == 4, " \t\r").otherwise("GET nonsense")
     )
     return blobs.answer(docs.select("doc_id", line.alias("line")), fx.blobs(spark, sf_dir), docs.where("doc_id % 2 = 0").select("sha256", "size"))
 
@@ -266,11 +267,11 @@ def restore_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_FILES} SELECT path, size, CASE WHEN size >= 4096 THEN 'lazy' ELSE 'eager' END AS action,
-  CASE WHEN size < 4096 THEN text END AS content FROM files WHERE doc_id % 3 <> 0""")
+  CASE WHEN size < 4096 THEN text END AS content FROM files""")
 def restore_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fx.documents(spark, sf_dir).where("doc_id % 3 <> 0").select("path", "size", "sha256")
+    own = fx.documents(spark, sf_dir).select("path", "size", "sha256")
     planned = restore.plan(own, own.limit(0), 4096)
-    return restore.materialized(planned, fx.blobs(spark, sf_dir)).select("path", "size", "action", "content")
+    return restore.materialized(planned, fx.all_blobs(spark, sf_dir)).select("path", "size", "action", "content")
 
 
 @_query(f"WITH {_FILES} SELECT source AS volume_id, count(*) AS n_pending FROM files WHERE size >= 4096 GROUP BY source")
@@ -302,14 +303,17 @@ def layer_append_or_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_SNAPS}, sv AS (
-  SELECT volume_id, layers AS a, CASE WHEN k % 5 = 0 THEN list_append(layers, 'x') WHEN k % 5 = 1 AND len(layers) > 0 THEN list_prepend('y', layers[2:]) ELSE layers END AS b, k FROM s WHERE k % 7 <> 0)
+  SELECT volume_id, layers, own AS a, CASE WHEN k % 5 = 0 THEN list_append(layers, 'x') WHEN k % 5 = 1 AND len(layers) > 0 THEN list_prepend('y', layers[2:]) ELSE own END AS b, k FROM e WHERE k % 7 <> 0)
 SELECT volume_id, array_to_string(a, ',') AS local_layers, array_to_string(b, ',') AS server_layers,
-       CAST(CASE WHEN k % 5 = 0 THEN len(a) ELSE 0 END AS BIGINT) AS first_difference FROM sv WHERE array_to_string(a, ',') <> array_to_string(b, ',')""")
+       CAST(CASE WHEN k % 5 = 0 THEN len(layers) ELSE 0 END AS BIGINT) AS first_difference FROM sv WHERE array_to_string(a, ',') <> array_to_string(b, ',')""")
 def layer_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = fx.snapshots(spark, sf_dir)
     key = F.substr("volume_id", F.lit(5)).cast("long")
     changed = F.when(key % 5 == 0, F.array_append("layers", "x")).when((key % 5 == 1) & (F.size("layers") > 0), F.array_prepend(F.slice("layers", 2, 100), "y")).otherwise(F.col("layers"))
-    found = layers.conflicts(local, local.where(key % 7 != 0).withColumn("layers", changed))
+    # Where the key is 3 modulo 5, the server names the image as a layer, which is no conflict.
+    listed = F.when((key % 5 == 3) & (F.size("layers") == 0) & (F.col("image_sha256") != ""), F.array("image_sha256")).otherwise(changed)
+    server = local.where(key % 7 != 0).withColumn("layers", listed)
+    found = layers.conflicts(local, server.withColumn("image_sha256", F.when(key % 5 == 3, "").otherwise(F.col("image_sha256"))))
     return found.select("volume_id", *[F.array_join(c, ",").alias(c) for c in ("local_layers", "server_layers")], "first_difference")
 
 
@@ -357,7 +361,7 @@ def dir_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_LAYOUT}
-SELECT l.image, nid, parent_nid, name, path, is_dir, mode, size, CAST(data_len AS BIGINT) AS data_len, CAST(n_blocks AS BIGINT) AS n_blocks,
+SELECT l.image, nid, parent_nid, name, path, is_dir, mode, size, uid, gid, mtime, CAST(data_len AS BIGINT) AS data_len, CAST(n_blocks AS BIGINT) AS n_blocks,
   CAST(CASE WHEN data_len > 0 THEN 4096 * (first + sum(n_blocks) OVER (PARTITION BY l.image ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END, nid) - n_blocks) ELSE 0 END AS BIGINT) AS data_offset
 FROM l JOIN b ON l.image = b.image""")
 def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,10 +378,12 @@ def dirent_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.dirent_offsets(tree.dirents(tree.nodes(fx.files(spark, sf_dir))))
 
 
-@_query(f"""WITH {_ENTRIES}
-SELECT image, dir_nid, idx, CAST(coalesce(lead(nameoff) OVER (PARTITION BY image, dir_nid ORDER BY idx), 4096) - nameoff AS BIGINT) AS room, true AS monotonic FROM o""")
+@_query(f"""WITH {_ENTRIES}, dm AS (SELECT image, dir_nid, idx, nameoff - CASE WHEN nid % 11 = 5 THEN 500 ELSE 0 END AS nameoff FROM o),
+nx AS (SELECT *, lead(nameoff) OVER (PARTITION BY image, dir_nid ORDER BY idx) AS after FROM dm)
+SELECT image, dir_nid, idx, CAST(coalesce(after, 4096) - nameoff AS BIGINT) AS room, coalesce(after >= nameoff, true) AS monotonic FROM nx""")
 def dirent_name_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.name_lengths(dirent_offsets(spark, sf_dir)).select("image", "dir_nid", "idx", "room", "monotonic")
+    damaged = dirent_offsets(spark, sf_dir).withColumn("nameoff", F.col("nameoff") - F.when(F.col("nid") % 11 == 5, 500).otherwise(0))
+    return image.name_lengths(damaged).select("image", "dir_nid", "idx", "room", "monotonic")
 
 
 @_query("""WITH e AS (SELECT source AS image, lang, 12 + strlen(CAST(doc_id AS VARCHAR) || '.txt') AS n FROM documents)
@@ -389,31 +395,52 @@ def dir_block_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(nodes.select("image", F.col("nid").alias("dir_nid"), F.col("name").alias("dir_name")), ["image", "dir_nid"]).select("image", "dir_name", "bytes")
 
 
-def _document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in images as bytes. Those of a language are dealt along their ids to images that
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of images: (doc_id, image, path, ...). Those of a language are dealt along their ids to images that
     begin at most IMAGE_BLOCKS blocks apart (an empty file counts as one), so an image is bounded by
     that and one file, and its directory by so many entries."""
     docs = fx.documents(spark, sf_dir)
     blocks = F.greatest(F.ceil(F.col("size") / image.BLOCK), F.lit(1))
-    placed = running(docs.select("lang", "doc_id", "mode", "size"), "lang", [F.col("doc_id")], "idx", "before", blocks)
+    placed = running(docs.select("lang", "doc_id", "mode", "size", "mod_time_ns"), "lang", [F.col("doc_id")], "idx", "before", blocks)
     name = F.concat("lang", F.lit("-"), F.floor(F.col("before") / IMAGE_BLOCKS).cast("string"))
-    files = placed.select("doc_id", name.alias("image"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(False).alias("is_dir"), "mode", "size")
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    return placed.select("doc_id", name.alias("image"), path.alias("path"), F.lit(False).alias("is_dir"), "mode", "size", "mod_time_ns", *fx.owners())
+
+
+def _document_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, contents and images as bytes of all documents."""
+    docs, files = fx.documents(spark, sf_dir), _packed(spark, sf_dir)
     nodes = materialize(tree.nodes(files.drop("doc_id")), "nodes")
     places = nodes.where("NOT is_dir").join(files.select("doc_id", "image", "path"), ["image", "path"]).select("doc_id", "image", "nid")
     data = docs.select("doc_id", "content").join(places, "doc_id").select("image", "nid", "content")
-    return materialize(image.build(nodes, data), "images")
+    return nodes, data, materialize(image.build(nodes, data), "images")
+
+
+def _document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document_trees(spark, sf_dir)[2]
+
 
+_PACKED = """pk AS (
+  SELECT doc_id, lang, text, CAST(strlen(text) AS BIGINT) AS size, greatest(1, CAST(ceil(strlen(text) / 4096.0) AS BIGINT)) AS b FROM documents),
+pl AS (SELECT *, lang || '-' || CAST((CAST(sum(b) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) - b) // 64 AS VARCHAR) AS image, CAST(doc_id AS VARCHAR) || '.txt' AS name FROM pk),
+im AS (SELECT *, CAST(row_number() OVER (PARTITION BY image ORDER BY name) AS BIGINT) AS nid FROM pl),
+su AS (SELECT image, count(*) + 1 AS inodes, CAST(sum(CAST(ceil(size / 4096.0) AS BIGINT)) + 1 AS BIGINT) AS k FROM im GROUP BY image),
+hd AS (SELECT image, CAST(inodes AS BIGINT) AS inodes, CAST(1 + CAST(ceil(inodes * 32 / 4096.0) AS BIGINT) + k AS BIGINT) AS blocks FROM su)"""
 
-@_query(None)
+
+@_query(f"WITH {_PACKED} SELECT image, nid, name, sha256(text) AS sha256, size FROM im")
 def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to images of bounded size, by language, and read back."""
     images = _document_images(spark, sf_dir)
-    names = image_source.dirents(images).where(~F.col("name").isin(".", "..")).select("image", "nid", "name")
-    back = image_source.file_contents(images).join(names, ["image", "nid"])
+    nodes = fsck.reached(images)
+    names = image_source.dirents(images, nodes).where(~F.col("name").isin(".", "..")).select("image", "nid", "name")
+    back = image_source.file_contents(images, nodes).join(names, ["image", "nid"])
     return back.select("image", "nid", "name", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"))
 
 
-@_query(None)
+@_query(f"""WITH {_PACKED}, im2 AS (SELECT image FROM hd),
+dm AS (SELECT unnest(['magic', 'magic', 'checksum', 'blocks', 'blocks', 'short']) AS d, unnest(['invalid magic', 'checksum mismatch', 'checksum mismatch', 'checksum mismatch', 'zero blocks', 'truncated superblock']) AS message)
+SELECT image || '-' || d AS image, 'InvalidSuperblock' AS code, CAST(NULL AS BIGINT) AS nid, message FROM im2, dm""")
 def fsck_superblock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the images of all documents, each of them sound and with each damage."""
     images = _document_images(spark, sf_dir)
@@ -429,11 +456,11 @@ def fsck_superblock(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks ---
 
 
-@_query("""SELECT CAST(doc_id AS BIGINT) AS nid, CASE doc_id % 4 WHEN 0 THEN 'name holds a zero byte' WHEN 1 THEN 'name holds a slash' ELSE 'empty name' END AS message, 'PathTraversal' AS code
-FROM documents WHERE doc_id % 4 < 3""")
+@_query("""SELECT CAST(doc_id AS BIGINT) AS nid, CASE doc_id % 4 WHEN 0 THEN 'name holds a zero byte' WHEN 1 THEN 'name holds a slash' WHEN 2 THEN 'empty name' ELSE 'name is not UTF-8' END AS message, 'PathTraversal' AS code
+FROM documents WHERE doc_id % 8 <> 7""")
 def fsck_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
-    name = F.when(k == 0, F.unhex(F.lit("610062"))).when(k == 1, F.lit("a/b").cast("binary")).when(k == 2, F.lit("").cast("binary")).otherwise(F.lit("fine.txt").cast("binary"))
+    name = F.when(k == 0, F.unhex(F.lit("610062"))).when(k == 1, F.lit("a/b").cast("binary")).when(k == 2, F.lit("").cast("binary")).when(F.col("doc_id") % 8 == 3, F.unhex(F.lit("61ff"))).otherwise(F.lit("fine.txt").cast("binary"))
     rows = fx.table(spark, sf_dir, "documents").select(F.lit("i").alias("image"), F.col("doc_id").alias("dir_nid"), name.alias("name"))
     return fsck.name_faults(rows).select("code", "nid", "message")
 
@@ -449,11 +476,11 @@ def fsck_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reached(spark, sf_dir)[1].select("nid", "depth", (F.col("depth") > WALK_DEPTH).alias("too_deep"))
 
 
-@_query(f"""WITH RECURSIVE {_EDGES}, inner_e AS (SELECT * FROM e WHERE child < 1000000 AND parent < 1000),
-p AS (SELECT parent AS a, child AS b FROM inner_e UNION SELECT p.a, i.child FROM p JOIN inner_e i ON i.parent = p.b)
+@_query(f"""WITH RECURSIVE {_EDGES},
+p AS (SELECT parent AS a, child AS b FROM e UNION SELECT p.a, i.child FROM p JOIN e i ON i.parent = p.b)
 SELECT DISTINCT CAST(a AS BIGINT) AS nid FROM p WHERE a = b""")
 def fsck_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fsck.cycle_nodes(fx.edges(spark, sf_dir).where("parent < 1000")).select("nid")
+    return fsck.cycle_nodes(fx.edges(spark, sf_dir)).select("nid")
 
 
 @_query(f"WITH RECURSIVE {_REACH} SELECT count(*) AS n, count(*) > 30 + 100 AS too_many FROM r")
@@ -555,14 +582,176 @@ def mode_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", mode.cast("long").alias("mode")).withColumn("file_type", modes.dirent_type(F.col("mode")))
 
 
-@_query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'unix' WHEN 1 THEN 'tcp' END AS scheme, CASE s_suppkey % 4 WHEN 0 THEN '/run/' || s_name WHEN 1 THEN s_name || ':50051' END AS address FROM supplier""")
+@_query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'unix' WHEN 1 THEN 'tcp' END AS scheme,
+  CASE WHEN s_suppkey % 8 = 4 THEN '' WHEN s_suppkey % 4 = 0 THEN '/run/' || s_name WHEN s_suppkey % 4 = 1 THEN s_name || ':50051' END AS address FROM supplier""")
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, name = F.col("s_suppkey") % 4, F.col("s_name")
-    text = F.when(k == 0, F.concat(F.lit("unix:///run/"), name)).when(k == 1, F.concat(F.lit("tcp://"), name, F.lit(":50051"))).when(k == 2, F.concat(F.lit("http://"), name)).otherwise(name)
+    text = F.when(F.col("s_suppkey") % 8 == 4, "unix://").when(k == 0, F.concat(F.lit("unix:///run/"), name)).when(k == 1, F.concat(F.lit("tcp://"), name, F.lit(":50051"))).when(k == 2, F.concat(F.lit("http://"), name)).otherwise(name)
     e = fx.table(spark, sf_dir, "supplier").select("s_suppkey", bf.parse_endpoint(text).alias("e"))
     return e.select("s_suppkey", F.col("e.scheme").alias("scheme"), F.col("e.address").alias("address"))
 
 
+# --- reading images, publishing, messages, requests ---
+
+
+@_query(f"WITH {_PACKED} SELECT image, inodes, blocks, CAST(3774210530 AS BIGINT) AS magic, CAST(12 AS BIGINT) AS blkszbits, CAST(1 AS BIGINT) AS meta_blkaddr, CAST(0 AS BIGINT) AS root_nid, CAST(4096 AS BIGINT) AS block_size, true AS sound FROM hd")
+def superblock_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = image_source.superblocks(_document_images(spark, sf_dir))
+    return heads.select("image", "inodes", "blocks", "magic", "blkszbits", "meta_blkaddr", "root_nid", "block_size", (F.col("checksum") == F.col("expected")).alias("sound"))
+
+
+@_query(f"""WITH {_PACKED} SELECT image, nid, CAST(33188 AS BIGINT) AS mode, size, CAST(1 AS BIGINT) AS nlink, doc_id % 1000 AS uid, doc_id % 77 AS gid, nid AS ino FROM im
+UNION ALL SELECT image, 0, 16877, 4096, 2, 0, 0, 0 FROM hd""")
+def inode_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_source.inodes(_document_images(spark, sf_dir)).select("image", "nid", "mode", "size", "nlink", "uid", "gid", "ino")
+
+
+@_query(f"""WITH {_PACKED}, en AS (SELECT image, nid, name, 1 AS file_type, 2 AS g FROM im UNION ALL SELECT image, 0, '.', 2, 0 FROM hd UNION ALL SELECT image, 0, '..', 2, 1 FROM hd)
+SELECT image, CAST(0 AS BIGINT) AS dir_nid, CAST(row_number() OVER (PARTITION BY image ORDER BY g, name) - 1 AS INTEGER) AS idx, nid, name, CAST(file_type AS BIGINT) AS file_type FROM en""")
+def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_source.dirents(_document_images(spark, sf_dir)).select("image", "dir_nid", "idx", "nid", "name", "file_type")
+
+
+@_query(f"WITH {_PACKED} SELECT hd.image, hd.inodes AS n_reached, CAST(sum(size) AS BIGINT) AS bytes, CASE WHEN hd.inodes > 101 THEN 'more inodes than declared' END AS message FROM hd JOIN im ON hd.image = im.image GROUP BY hd.image, hd.inodes")
+def fsck_sparse_nids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that declare one inode and use slots beyond: all are read; the count alone is at fault."""
+    images = _document_images(spark, sf_dir)
+    one = lambda b: F.concat(F.substr(b, F.lit(1), F.lit(1028)), F.unhex(F.lit("00" * 4)), F.substr(b, F.lit(1033), F.lit(8)), F.unhex(F.lit("01" + "00" * 7)), F.substr(b, F.lit(1049)))
+    sparse = materialize(images.select("image", one(F.col("content")).alias("content")), "sparse")
+    sums = fsck.reached(sparse).groupBy("image").agg(F.count("*").alias("n_reached"), F.sum(F.when(F.col("nid") > 0, F.col("size"))).alias("bytes"))
+    return sums.join(fsck.fsck(sparse).select("image", "message"), "image", "left")
+
+
+@_query("""WITH r AS (SELECT p_partkey AS nid, p_partkey % 7 AS k FROM part)
+SELECT nid, 'InvalidDirectoryBlock' AS code, CASE k WHEN 0 THEN 'block too small' WHEN 1 THEN 'invalid first name offset' WHEN 2 THEN 'reserved byte is not zero' WHEN 3 THEN 'name offsets go back' ELSE 'name beyond the block' END AS message
+FROM r WHERE k < 5""")
+def fsck_dir_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 7
+    raw = fx.table(spark, sf_dir, "part").select(
+        F.lit("i").alias("image"), F.col("p_partkey").alias("dir_nid"), F.when(k < 2, F.lit(None)).otherwise(F.lit(3)).cast("int").alias("idx"), F.when(k == 0, 8).otherwise(4096).cast("long").alias("block_bytes"),
+        F.when(k == 2, 1).otherwise(0).cast("long").alias("reserved"), F.when(k == 3, -4).when(k == 4, 100).otherwise(9).cast("long").alias("room"), F.when(k == 4, 4000).otherwise(40).cast("long").alias("nameoff"),
+    )
+    return fsck.dirent_faults(raw).select("nid", "code", "message")
+
+
+@_query(f"""WITH {_PACKED} SELECT image, name AS path, CASE WHEN doc_id % 10 = 0 THEN 'unexpected' WHEN doc_id % 10 = 1 THEN 'missing' WHEN doc_id % 10 = 2 THEN 'other mode' WHEN doc_id % 10 = 3 THEN 'other size' ELSE 'other content' END AS problem
+FROM im WHERE doc_id % 10 < 4 OR (doc_id % 10 = 4 AND size > 0)""")
+def image_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images against trees that differ by rule: what is missing here, unexpected there, or other."""
+    nodes, data, images = _document_trees(spark, sf_dir)
+    k = F.try_to_number(F.regexp_extract("path", "^([0-9]+)", 1), F.lit("999999999999")).cast("long") % 10
+    changed = nodes.where(F.col("is_dir") | (k != 0)).withColumns({
+        "path": F.when(~F.col("is_dir") & (k == 1), F.concat("path", F.lit(".none"))).otherwise(F.col("path")),
+        "mode": F.when(~F.col("is_dir") & (k == 2), F.col("mode") + 1).otherwise(F.col("mode")), "size": F.when(~F.col("is_dir") & (k == 3), F.col("size") + 1).otherwise(F.col("size")),
+    })
+    other = data.join(nodes.where(~F.col("is_dir")).select("image", "nid", (k == 4).alias("other")), ["image", "nid"])
+    other = other.withColumn("content", F.when(F.col("other"), F.concat(F.unhex(F.lit("00")), F.substr(F.col("content").cast("binary"), F.lit(2)))).otherwise(F.col("content").cast("binary")))
+    # A file of another name is missing under it and unexpected under its own: the first of both is kept.
+    found = image.compare(changed, images, other.drop("other"))
+    return found.where(~((F.col("problem") == "unexpected") & (k == 1))).withColumn("path", F.regexp_replace("path", "\\.none$", ""))
+
+
+@_query(f"""WITH {_PACKED}
+SELECT image, nid, size, size >= 1000 AS zeros, CASE WHEN size < 1000 THEN sha256(text) END AS sha256 FROM im""")
+def image_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshots compiled to images, files from 1000 bytes on as zeros, and read back. Volumes are
+    as bounded as the images of all documents are."""
+    rows = _packed(spark, sf_dir).join(fx.documents(spark, sf_dir).select("doc_id", "sha256"), "doc_id")
+    rows = rows.select(F.col("image").alias("volume_id"), F.lit(1).cast("long").alias("version"), "path", "mode", "size", "mod_time_ns", "sha256")
+    images = materialize(publish.images_on_read(rows, fx.all_blobs(spark, sf_dir), 1000), "images")
+    nodes = fsck.reached(images).where("nid > 0")
+    back = image_source.file_contents(images, nodes).select("image", "nid", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("s"), F.hex("content").alias("h"))
+    zeros = (F.col("size") >= 1000) & ~F.col("h").rlike("[1-9A-F]")
+    return back.select("image", "nid", "size", zeros.alias("zeros"), F.when(~zeros, F.col("s")).alias("sha256"))
+
+
+@_query(f"WITH {_FILES} SELECT source AS volume_id, CAST(3 AS BIGINT) AS version, {_COLUMNS} FROM files")
+def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshots written as protobuf messages, in pieces, and read back."""
+    pieces = materialize(messages.encode(snapshot_latest(spark, sf_dir), 100), "messages")
+    return messages.files(pieces).select("volume_id", "version", *fx.FILE_COLUMNS)
+
+
+@_query(f"WITH {_FILES} SELECT source AS volume_id, CAST(1 AS BIGINT) AS version, {_COLUMNS} FROM files WHERE doc_id % 4 <= 1")
+def snapshot_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = fx.manifest(spark, sf_dir)
+    return snapshot.pinned(manifest, manifest.where("version = 1").select("volume_id", "version").distinct()).select("volume_id", "version", *fx.FILE_COLUMNS)
+
+
+@_query(f"WITH {_FILES} SELECT source AS volume_id, count(*) AS n FROM files WHERE source NOT IN ('src1', 'src12') GROUP BY source")
+def volume_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = snapshot_latest(spark, sf_dir)
+    gone = rows.where("volume_id IN ('src1', 'src12')").select("volume_id")
+    return snapshot.without_volumes(rows, gone).groupBy("volume_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT source AS volume_id, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_changes FROM documents GROUP BY source HAVING sum(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END) > 0")
+def changed_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 0, "dir").when(F.col("doc_id") % 3 == 1, "file").otherwise("whiteout")
+    return snapshot.changed_volumes(fx.documents(spark, sf_dir).select(F.col("source").alias("volume_id"), kind.alias("kind")))
+
+
+@_query(f"""WITH {_FILES}, n AS (SELECT source, path, sha256, (row_number() OVER (PARTITION BY source ORDER BY path) - 1) // 16 AS part FROM files)
+SELECT source AS volume_id, CAST(part AS BIGINT) AS part, count(*) AS n_files, string_agg(path || ':' || sha256, ',' ORDER BY path) AS listed FROM n GROUP BY source, part""")
+def snapshot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = snapshot.as_lists(snapshot_latest(spark, sf_dir), 16)
+    listed = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["path"], f["sha256"])), ",")
+    return lists.select("volume_id", "part", F.size("files").cast("long").alias("n_files"), listed.alias("listed"))
+
+
+@_query(f"""WITH {_SNAPS} SELECT volume_id, CASE WHEN len(own) > 0 THEN 'layers' ELSE 'files' END AS stacks, CASE WHEN image_sha256 <> '' THEN 'image' ELSE 'files' END AS images, 'files' AS neither FROM e""")
+def restore_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way = lambda **o: restore.mode(F.col("layers"), F.col("image_sha256"), **o)
+    return fx.snapshots(spark, sf_dir).select("volume_id", way(images=True, stacks=True).alias("stacks"), way(images=True).alias("images"), way().alias("neither"))
+
+
+@_query("""SELECT doc_id AS stream_id, CASE doc_id % 4 WHEN 2 THEN 'content before digest' ELSE 'message with both or neither of digest and content' END AS fault FROM documents WHERE doc_id % 4 > 1""")
+def upload_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of a header and content; of a header alone; of content first; of an empty message."""
+    docs, k, none = fx.documents(spark, sf_dir), F.col("doc_id") % 4, F.lit(None).cast("string")
+    head = docs.select(F.col("doc_id").alias("stream_id"), F.when(k == 2, 2).otherwise(0).alias("seq"), "sha256", none.alias("content"))
+    body = docs.where(k != 1).select(F.col("doc_id").alias("stream_id"), F.lit(1).alias("seq"), none.alias("sha256"), F.when(k != 3, F.col("content")).alias("content"))
+    return blobs.stream_faults(head.unionByName(body))
+
+
+@_query("""WITH w AS (SELECT doc_id, text, CAST(strlen(text) AS BIGINT) AS size FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, CAST(i * 8192 AS BIGINT) AS "offset", CAST(greatest(0, least(8192, size - i * 8192)) AS BIGINT) AS n_bytes, CASE WHEN size <= 8192 THEN sha256(text) END AS sha256
+FROM (SELECT *, unnest(range(0, CAST(greatest(1, ceil(size / 8192.0)) AS BIGINT))) AS i FROM w)""")
+def blob_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = fx.documents(spark, sf_dir).select("doc_id", "size", F.concat(F.lit(" "), F.upper("sha256"), F.lit("\n")).alias("sha256"))
+    rows = blobs.read(wanted, fx.all_blobs(spark, sf_dir), 8192)
+    return rows.select("doc_id", "chunk_idx", "offset", F.octet_length("content").cast("long").alias("n_bytes"), F.when(F.col("size") <= 8192, F.sha2("content", 256)).alias("sha256"))
+
+
+@_query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN -event_id END AS size,
+  CASE event_id % 5 WHEN 2 THEN 'server error: not found' WHEN 3 THEN 'unexpected server response: HELLO' WHEN 4 THEN 'invalid size: 12x' END AS error FROM events""")
+def cas_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("OK "), n, F.lit("\r\n"))).when(k == 1, F.concat(F.lit("OK -"), n)).when(k == 2, "ERR not found\n").when(k == 3, "HELLO").otherwise("OK 12x")
+    got = fx.table(spark, sf_dir, "events").select("event_id", bf.parse_reply(text).alias("r"))
+    return got.select("event_id", F.col("r.size").alias("size"), F.col("r.error").alias("error"))
+
+
+@_query(f"""WITH {_FILES}, a AS (SELECT source AS image, CAST(doc_id AS VARCHAR) AS d, text, doc_id FROM files)
+SELECT image, d || '/' || 'f.txt' AS path, false AS is_dir, CAST(384 + doc_id % 64 AS INTEGER) AS mode, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM a
+UNION ALL SELECT image, d, true, 493, 0, sha256('') FROM a""")
+def tree_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of two nodes each, given as four parallel arrays."""
+    name = F.col("doc_id").cast("string")
+    text = F.col("content").cast("binary")
+    rows = fx.documents(spark, sf_dir).select(
+        F.col("source").alias("image"), F.array(F.concat(F.lit("/"), name, F.lit("//f.txt")), name).alias("paths"), F.array(F.lit(False), F.lit(True)).alias("is_dirs"),
+        F.array(text, F.unhex(F.lit(""))).alias("contents"), F.array((F.lit(384) + F.col("doc_id") % 64).cast("int"), F.lit(493)).alias("modes"),
+    )
+    return tree.from_arrays(rows).select("image", "path", "is_dir", "mode", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@_query("SELECT doc_id, 1600000000 + doc_id // 1000000 AS seconds, 1600000000 - 1 - doc_id // 1000000000 AS before FROM documents")
+def unix_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ns = F.lit(fx.EPOCH_NS) + F.col("doc_id") * 1000
+    return fx.table(spark, sf_dir, "documents").select("doc_id", modes.unix_seconds(ns).alias("seconds"), modes.unix_seconds(F.lit(fx.EPOCH_NS) - F.col("doc_id") - 1).alias("before"))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _ALL.items()}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.blobs import digest
 from .operators import blobs as blob_ops
-from .operators import layers, snapshot
+from .operators import fsck, layers, snapshot
 from .plans.durable import materialize
 from .ship import ship
 
@@ -43,8 +43,15 @@ def commit_snapshot(manifest: DataFrame, stored: DataFrame, path: str, volume_id
     snapshot.append_version(manifest, path, volume_id, expected)
 
 
-def commit_layers(snapshots: DataFrame, stored: DataFrame, violations: DataFrame, path: str) -> None:
-    """Write snapshots whose layers all have sound blobs; raises on the first that has not."""
+def commit_layers(snapshots: DataFrame, stored: DataFrame, path: str, violations: DataFrame | None = None) -> None:
+    """Write snapshots whose layers all have sound blobs; raises on the first that has not.
+
+    The blobs ``stored(sha256, content)`` of the layers are checked here, unless their violations are
+    given. Single writer: a folder that exists is refused before writing, not claimed."""
+    if violations is None:
+        wanted = layers.unnest(snapshots).select("sha256").distinct()
+        images = stored.join(wanted, "sha256", "left_semi").dropDuplicates(["sha256"]).select(F.col("sha256").alias("image"), F.col("content").cast("binary").alias("content"))
+        violations = fsck.fsck(materialize(images, "layers"))
     unfit = layers.unfit_layers(snapshots, stored, violations).take(1)
     if unfit:
         raise ValueError(f"layer {unfit[0].layer_idx} of {unfit[0].volume_id}: {unfit[0].reason}")

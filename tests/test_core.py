@@ -369,4 +369,117 @@ def test_sinks(spark, tmp_path):
     s = spark.createDataFrame([("v", None, ["l"])], "volume_id string, image_sha256 string, layers array<string>")
     none = spark.createDataFrame([], "image string, code string, nid long, message string")
     with pytest.raises(ValueError, match="missing blob"):
-        sinks.commit_layers(s, have, none, str(tmp_path / "s"))
+        sinks.commit_layers(s, have, str(tmp_path / "s"), none)
+    bad = spark.createDataFrame([("v", None, [row(b"a")[0]])], "volume_id string, image_sha256 string, layers array<string>")
+    with pytest.raises(ValueError, match="fails check"):
+        sinks.commit_layers(bad, have, str(tmp_path / "s"))
+
+
+# --- messages, publishing, live streams ---
+
+
+def test_messages(spark):
+    from snapweave.sources import messages
+
+    rows = [("v", 1, f"p{i}", 0o644, i, -5 + i * 10**9, f"s{i}") for i in range(25)] + [("w", 2, "é", 2**31, 2**40, 0, "")]
+    m = spark.createDataFrame(rows, "volume_id string, version long, path string, mode long, size long, mod_time_ns long, sha256 string")
+    pieces = messages.encode(m, 10).cache()
+    assert pieces.count() == 4 and pairs(messages.files(pieces.drop("part"))) == sorted(rows)
+    joined = {}
+    for r in pieces.orderBy("volume_id", "part").collect():  # the pieces of a volume are one message
+        joined[r.volume_id] = joined.get(r.volume_id, b"") + bytes(r.content)
+    whole = spark.createDataFrame([(k, 1, bytearray(v)) for k, v in joined.items()], "volume_id string, version long, content binary")
+    assert messages.files(whole.where("volume_id = 'v'")).count() == 25
+    # image digest (field 2) and two layers (field 3), as bytes of the wire format
+    head = spark.createDataFrame([("v", bytearray(b"\x12\x02im\x1a\x02l0\x1a\x02l1")), ("e", None)], "volume_id string, content binary")
+    assert pairs(messages.heads(head)) == [("e", "", []), ("v", "im", ["l0", "l1"])] and messages.files(head).count() == 0
+    with pytest.raises(Exception, match="not a snapshot message"):
+        messages.files(spark.createDataFrame([("v", bytearray(b"\x0a\xff"))], "volume_id string, content binary")).collect()
+
+
+def test_sparse_nids_and_walk_order(spark, built):
+    """An image that declares two inodes and has files beyond; the first error is the walk's first."""
+    raw = bytearray(bytes(built[2].first().content))
+    raw[1028:1032] = b"\0" * 4
+    raw[1040:1048] = struct.pack("<Q", 2)
+    one = spark.createDataFrame([("i", raw)], "image string, content binary")
+    got = fsck.reached(one)
+    assert got.count() == 11 and fsck.fsck(one).count() == 0
+    assert pairs(source.paths(one, got).select("path", "nid")) == pairs(built[1].select("path", "nid"))
+    nodes = {r.path: r for r in image.layout(built[1]).collect()}
+    bad = bytearray(bytes(built[2].first().content))
+    for p in ("foo/baz/deep.txt", "hello.txt"):
+        bad[4096 + 32 * nodes[p].nid + 16 : 4096 + 32 * nodes[p].nid + 20] = b"\xff\xff\0\0"
+    df = spark.createDataFrame([("i", bad)], "image string, content binary")
+    order = fsck.walk_order(df)
+    assert [r.nid for r in order.orderBy("way").collect()] == list(range(11))
+    assert fsck.first_error(fsck.fsck(df), order).first().nid == nodes["foo/baz/deep.txt"].nid
+    contents = spark.createDataFrame([("i", n.nid, bytearray(b"")) for n in nodes.values() if not n.is_dir], "image string, nid long, content binary")
+    assert {r.problem for r in image.compare(built[1], built[2], contents).collect()} == {"other content"}
+
+
+def test_cycles_against_peeling(spark):
+    rnd = random.Random(5)
+    for n in (4, 8, 15):
+        edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(n + n // 3)} | {(100 + i, 101 + i) for i in range(40)} | {(140, rnd.randrange(n)), (rnd.randrange(n), 200)}
+        left = set(edges)
+        while True:
+            now = {(a, b) for a, b in left if a in {y for _, y in left} and b in {x for x, _ in left}}
+            if now == left:
+                break
+            left = now
+        got = fsck.cycle_nodes(spark.createDataFrame([("i", *e) for e in edges], "image string, parent long, child long"))
+        assert sorted(r.nid for r in got.collect()) == sorted({a for a, _ in left})
+
+
+def test_pins_claims_and_lengths(spark, tmp_path):
+    m = spark.createDataFrame([("v", 1, "a"), ("v", 2, "b")], "volume_id string, version long, path string")
+    assert pairs(snapshot.pinned(m, spark.createDataFrame([("v", 1)], "volume_id string, version long"))) == [("v", 1, "a")]
+    with pytest.raises(Exception, match="no such version"):
+        snapshot.pinned(m, spark.createDataFrame([("v", 3)], "volume_id string, version long")).collect()
+    snapshot.append_version(m, str(tmp_path), "v", 5)
+    with pytest.raises(FileExistsError, match="version 6"):
+        snapshot.append_version(m, str(tmp_path), "v", 5)
+    assert pairs(spark.read.parquet(str(tmp_path)).select("volume_id", "version", "path")) == [("v", 6, "a"), ("v", 6, "b")]
+    event = spark.createDataFrame([(access.OPEN_PERM, 24)], "mask long, event_len int")
+    assert access.checked(event).count() == 1
+    with pytest.raises(Exception, match="event of 8 bytes"):
+        access.checked(event.withColumn("event_len", F.lit(8))).collect()
+    bad = spark.createDataFrame([("i", ["a", "b"], [True], [bytearray(b"")], [1])], "image string, paths array<string>, is_dirs array<boolean>, contents array<binary>, modes array<int>")
+    with pytest.raises(Exception, match="arrays of different lengths"):
+        tree.from_arrays(bad).collect()
+    with pytest.raises(Exception, match="not found"):
+        blobs.read(spark.createDataFrame([("ab" * 32,)], "sha256 string"), spark.createDataFrame([], "sha256 string, content binary")).collect()
+
+
+def test_live_stream_against_model(spark, tmp_path):
+    from snapweave.streaming import lazyload as live
+
+    rnd, rows, state, want = random.Random(8), [], {}, {}
+    for i in range(600):
+        p, kind, pid = f"p{rnd.randrange(7)}", rnd.choice(["open"] * 6 + ["pending", "pending", "done", "evict"]), rnd.randrange(4)
+        rows.append((i, i, kind, pid if kind == "open" else None, p, access.OPEN_PERM if kind == "open" else None, f"s{int(p[1:]) % 4}"))
+        if kind != "open":
+            state[p] = False if kind == "pending" else None
+        elif pid == 2:
+            want[i] = ("self", "allow")
+        elif state.get(p) is None:
+            want[i] = ("ready", "allow")
+        else:
+            have = int(p[1:]) % 4 != 3
+            want[i] = ("loaded" if state[p] else "initiator", "allow" if have or state[p] else "deny")
+            state[p] = state[p] or have
+    df = spark.createDataFrame(rows, "s long, event_id long, kind string, pid int, path string, mask long, sha256 string")
+    df = df.select(F.timestamp_seconds("s").alias("ts"), "event_id", "kind", "pid", "path", "mask", "sha256")
+    for k in range(3):
+        df.where((F.col("event_id") >= 200 * k) & (F.col("event_id") < 200 * (k + 1))).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    have = spark.createDataFrame([("s0",), ("s1",), ("s2",)], "sha256 string")
+    q = live.decide_live(stream, have, 2).writeStream.format("memory").queryName("live").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert {r.event_id: (r.role, r.decision) for r in spark.table("live").collect()} == want
+    kept = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert kept[-1] == sum(v is not None for v in state.values())  # nothing is kept of paths that are done
+    control = spark.createDataFrame([(1, "evict", "v")], "event_id long, kind string, volume_id string").withColumn("ts", F.current_timestamp())
+    files = spark.createDataFrame([("v", "a", "s"), ("v", "b", "s"), ("v1", "c", "s")], "volume_id string, path string, sha256 string")
+    assert sorted(r.path for r in live.expand(control, files).collect()) == ["a", "b"]
