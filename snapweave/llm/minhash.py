@@ -14,8 +14,9 @@ it is. Bands of the signatures are joined without pairs inside a bucket: each me
 with one centre, exactly, on its shingles, and linked nodes are contracted. Only buckets that still
 hold several components go on: there the members outside the largest one (usually few) are compared
 with all members of other components, in blocks of bounded size, so what is dealt grows with the
-members and not with their pairs. A block gives the links that connect components. Signatures sieve
-the pairs of a block before the exact comparison on 64-bit hashes.
+members and not with their pairs. Signatures sieve the pairs of a block first; only members of
+likely pairs get their shingles, for an exact comparison on 64-bit hashes. A block gives the links
+that connect components.
 
 What can be lost is what the hashing loses: a pair at a similarity of exactly 0.8 shares no band with
 a probability of 3 in a million, and agrees in under SIEVE of the coordinates with one of 2 in a
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import discard, materialize
 from ..ship import ship
-from .common import FOLD, checked_broadcast, components, mix, set_aside, slices, trimmed, word_hashes
+from .common import FOLD, checked_broadcast, components, groups, mix, set_aside, slices, trimmed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,31 +152,22 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["key", "units"])
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The rows of a list column of numbers."""
-    ends = column.offsets.to_numpy()
-    values = column.values.to_numpy()
-    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+def _likely(rows: list[tuple]) -> list[tuple[float, int, int]]:
+    """Pairs of a block's outsiders with members of other components that may be similar, with the
+    share of coordinates in which they agree (negative, so likely pairs sort first).
 
-
-def _forest(rows: list[tuple]) -> tuple[list, list]:
-    """Links of one block between its outsiders and members of other components, enough to span
-    what they connect.
-
-    Pairs are compared on their shingles, likely ones first, unless other links already connect them.
-    A pair that shares several bands is compared in the first one, two outsiders in one direction."""
+    A pair that shares several bands counts in the first one, two outsiders in one direction."""
     band = rows[0][0]
     left = np.array([i for i, r in enumerate(rows) if r[3]], int)
     right = np.array([i for i, r in enumerate(rows) if not r[3]], int)
     if not len(left) or not len(right):
-        return [], []
-    key = [r[5] for r in rows]
+        return []
     sig = np.stack([np.frombuffer(r[8], np.uint8) for r in rows])
     bands = np.stack([r[9] for r in rows])
     comp = np.unique(np.array([r[6].hex() for r in rows]), return_inverse=True)[1]
     size = np.array([r[7] for r in rows])
     inside = ~np.array([r[4] for r in rows])  # in the bucket's largest component
-    place = np.unique(np.array([k.hex() for k in key]), return_inverse=True)[1]
+    place = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1]
     found = []
     for i in left.tolist():
         o = right[(comp[right] != comp[i]) & (inside[right] | (place[right] > place[i]))]
@@ -187,6 +179,23 @@ def _forest(rows: list[tuple]) -> tuple[list, list]:
             first = (bands[o] == bands[i]).argmax(axis=1)
             own = bands[i][first] == band
             found += zip((-agree[own]).tolist(), [i] * int(own.sum()), o[own].tolist(), strict=True)
+    return found
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that stand in a likely pair, without signatures."""
+    names = ["band", "lo", "hi", "given", "out", "key", "comp", "size"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
+    for rows in groups(batches, 3):
+        some = sorted({k for _, i, j in _likely(rows) for k in (i, j)})
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][c] for i in some], kind) for c, kind in enumerate(kinds)], names)
+
+
+def _forest(rows: list[tuple]) -> tuple[list, list]:
+    """Links of one block, enough to span what its likely pairs connect: they are compared on their
+    shingles, unless other links already connect them."""
+    comp = np.unique(np.array([r[6].hex() for r in rows]), return_inverse=True)[1]
     root = list(range(int(comp.max()) + 1))
 
     def find(x: int) -> int:
@@ -195,33 +204,21 @@ def _forest(rows: list[tuple]) -> tuple[list, list]:
         return x
 
     out: tuple[list, list] = ([], [])
-    for _, i, j in sorted(found):
+    for _, i, j in sorted(_likely(rows)):
         a, b = find(int(comp[i])), find(int(comp[j]))
         if a != b:
             both = len(np.intersect1d(rows[i][10], rows[j][10], assume_unique=True))
             if both >= SIMILARITY * (len(rows[i][10]) + len(rows[j][10]) - both):
                 root[max(a, b)] = min(a, b)
-                out[0].append(key[i])
-                out[1].append(key[j])
+                out[0].append(rows[i][5])
+                out[1].append(rows[j][5])
     return out
 
 
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_forest`` of each block (band, of outsiders, of members) of rows, which come sorted by it."""
-    kept: list[tuple] = []
-    for batch in batches:
-        out: tuple[list, list] = ([], [])
-        columns = [c.to_pylist() for c in batch.columns[:9]] + [_lists(c) for c in batch.columns[9:]]
-        for row in zip(*columns, strict=True):
-            if kept and kept[-1][:3] != row[:3]:
-                a, b = _forest(kept)
-                out[0].extend(a)
-                out[1].extend(b)
-                kept = []
-            kept.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
-    if kept:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _forest(kept)], ["a", "b"])
+    """``_forest`` of each block (band, of outsiders, of members)."""
+    for rows in groups(batches, 3):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _forest(rows)], ["a", "b"])
 
 
 def key_of(text: Column) -> Column:
@@ -286,11 +283,15 @@ def links(docs: DataFrame) -> DataFrame:
     placed = shared.select("band", "key", "size").join(roots, F.col("key") == F.col("node"), "left")
     placed = materialize(placed.select("band", "key", "size", F.coalesce("root", "key").alias("comp")), "placed")
     open_ = materialize(outsiders(placed), "open")
-    members = placed.join(checked_broadcast(open_), "band").join(signed.select("key", "sig", "bands"), "key").join(units, "key")
-    dealt = blocks(members).select("band", "lo", "hi", "given", "out", "key", "comp", "size", "sig", "bands", "units")
-    dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    members = placed.join(checked_broadcast(open_), "band")
+    row = ["band", "lo", "hi", "given", "out", "key", "comp", "size"]
+    of_key = signed.select("key", "sig", "bands")
+    to_block = lambda d: d.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    sifted = to_block(blocks(members.join(of_key, "key")).select(*row, "sig", "bands")).mapInArrow(trimmed(_sift), blocks(members).select(*row).schema)
+    sifted = materialize(sifted, "sifted")  # few of the dealt rows: only these need their shingles
+    dealt = to_block(sifted.join(of_key, "key").join(units, "key").select(*row, "sig", "bands", "units"))
     more = materialize(dealt.mapInArrow(trimmed(_connect), "a binary, b binary"), "links")
-    discard(signed, shared, pairs, units, placed, open_)
+    discard(signed, shared, pairs, units, placed, open_, sifted)
     return first.unionByName(more)
 
 
