@@ -96,10 +96,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         discard(e, least, large, under)
         before, now, e = now, mark(small), small
         if now == before:
-            # First among few: the root of very many nodes stands in every partition. Written, since the
-            # optimizer takes a distinct under another one away.
-            some = materialize(e.select(F.col("v").alias("node"), (F.spark_partition_id() % 16).alias("part")).distinct(), "roots").select("node").distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(some.select("node", F.col("node").alias("root")))
+            # Combined before the shuffle, so a root of very many nodes is one row of each partition.
+            some = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(some.withColumn("root", F.col("node")))
     raise RuntimeError("components did not settle")
 
 
